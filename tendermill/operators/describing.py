@@ -23,8 +23,8 @@ def column_summary(df: DataFrame, column: str, keys: Iterable[str] = ()) -> Data
     order = [*keys, "n", "mean", "std", "least", *QUARTILES, "most"]
     if keys:
         return plain.join(quartiles, keys, "left").select(*order)
-    found = grouping.scalar_struct(quartiles, **{q: F.max(q) for q in QUARTILES})
-    return plain.select("*", *(found[q].alias(q) for q in QUARTILES)).select(*order)
+    found = grouping.with_row(plain, quartiles, "_q")
+    return found.select("*", *(F.col(f"_q.{q}") for q in QUARTILES)).select(*order)
 
 
 def column_summaries(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -30,9 +30,18 @@ def with_group_stats(df: DataFrame, keys: Iterable[str], **stats: Column) -> Dat
     return df.join(per_group, keys)
 
 
-def scalar_struct(df: DataFrame, **stats: Column) -> Column:
-    """One-row statistics as a scalar struct column for use in expressions over other rows."""
-    return df.agg(F.struct(*(c.alias(n) for n, c in stats.items())).alias("s")).scalar()
+def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row frame to every row as the struct column ``name``.
+
+    The row is a scalar subquery computed once, and held in one column: repeating the
+    subquery in every expression that uses it would plan it again each time.
+    """
+    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
+
+
+def with_whole_stats(df: DataFrame, name: str, **stats: Column) -> DataFrame:
+    """Statistics of all rows as the struct column ``name``."""
+    return with_row(df, df.agg(*(c.alias(n) for n, c in stats.items())), name)
 
 
 def with_share(df: DataFrame, value: str, keys: Iterable[str] = (), result: str = "share") -> DataFrame:

@@ -30,25 +30,28 @@ def sigma_bounds(df: DataFrame, keys: Iterable[str], columns: Iterable[str], sig
 
 def z_scored(series: DataFrame, value: str, least: float = 2.0) -> DataFrame:
     """Population z-score of each point of a series and whether it is an outlier."""
-    whole = grouping.scalar_struct(series, mean=F.avg(value), std=F.stddev_pop(value))
-    z = F.try_divide(F.col(value) - whole["mean"], whole["std"])
-    return series.withColumn("z", z).withColumn("is_outlier", F.coalesce(F.abs("z") >= least, F.lit(False)))
+    whole = grouping.with_whole_stats(series, "_whole", mean=F.avg(value), std=F.stddev_pop(value))
+    z = F.try_divide(F.col(value) - F.col("_whole.mean"), F.col("_whole.std"))
+    scored = whole.withColumn("z", z).drop("_whole")
+    return scored.withColumn("is_outlier", F.coalesce(F.abs("z") >= least, F.lit(False)))
 
 
-def fence(df: DataFrame, value: str, width: float = 1.5):
-    """Scalar struct with the quartile fence of a column."""
+def fence(df: DataFrame, value: str, width: float = 1.5) -> DataFrame:
+    """One row with the quartile fence of a column: ``low`` and ``high``."""
     q = exact_quantiles(df, [], value, {"q1": 0.25, "q3": 0.75})
     step = (F.col("q3") - F.col("q1")) * width
-    return q.select(F.struct((F.col("q1") - step).alias("low"), (F.col("q3") + step).alias("high"))).scalar()
+    return q.select((F.col("q1") - step).alias("low"), (F.col("q3") + step).alias("high"))
 
 
 def fenced(df: DataFrame, columns: Iterable[str], width: float = 1.5) -> DataFrame:
     """Mark rows outside the fence in any of the columns."""
-    outside = []
+    columns = list(columns)
+    out = df
     for c in columns:
-        f = fence(df, c, width)
-        outside.append((F.col(c) < f["low"]) | (F.col(c) > f["high"]))
-    return df.withColumn("is_outlier", F.coalesce(reduce(or_, outside), F.lit(False)))
+        out = grouping.with_row(out, fence(df, c, width), f"_fence_{c}")
+    outside = [(F.col(c) < F.col(f"_fence_{c}.low")) | (F.col(c) > F.col(f"_fence_{c}.high")) for c in columns]
+    marked = out.withColumn("is_outlier", F.coalesce(reduce(or_, outside), F.lit(False)))
+    return marked.drop(*(f"_fence_{c}" for c in columns))
 
 
 def without_outliers(series: DataFrame, value: str, width: float = 1.5) -> DataFrame:
@@ -75,20 +78,21 @@ def mahalanobis(df: DataFrame, columns: Iterable[str], contamination: float = 0.
     for i in range(3):
         for j in range(i, 3):
             stats[f"c{i}{j}"] = F.covar_samp(columns[i], columns[j])
-    s = grouping.scalar_struct(kept, **stats)
-    c = [[s[f"c{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]
+    c = [[F.col(f"c{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
 
     def minor(i, j):
         r = [x for x in range(3) if x != i]
         k = [x for x in range(3) if x != j]
-        return c[r[0]][k[0]] * c[r[1]][k[1]] - c[r[0]][k[1]] * c[r[1]][k[0]]
-
-    determinant = c[0][0] * minor(0, 0) - c[0][1] * minor(0, 1) + c[0][2] * minor(0, 2)
-    x = [F.col(name) - s[f"m{i}"] for i, name in enumerate(columns)]
-    form = F.lit(0.0)
-    for i in range(3):
-        for j in range(3):
-            form = form + x[i] * x[j] * minor(i, j) * (-1) ** (i + j)
-    scored = kept.withColumn("distance", F.try_divide(form, determinant))
+        return (c[r[0]][k[0]] * c[r[1]][k[1]] - c[r[0]][k[1]] * c[r[1]][k[0]]) * (-1) ** (i + j)
+
+    determinant = sum((c[0][j] * minor(0, j) for j in range(3)), F.lit(0.0))
+    moments = kept.agg(*(e.alias(n) for n, e in stats.items())).withColumn("det", determinant)
+    weights = {f"w{i}{j}": F.try_divide(minor(i, j), F.col("det")) * (1 if i == j else 2)
+               for i in range(3) for j in range(i, 3)}
+    # one row: three means and six weights; rows then meet plain products only
+    row = moments.select("m0", "m1", "m2", *(w.alias(n) for n, w in weights.items()))
+    x = [F.col(name) - F.col(f"_m.m{i}") for i, name in enumerate(columns)]
+    distance = sum((x[i] * x[j] * F.col(f"_m.w{i}{j}") for i in range(3) for j in range(i, 3)), F.lit(0.0))
+    scored = grouping.with_row(kept, row, "_m").withColumn("distance", distance).drop("_m")
     bound = exact_quantiles(scored, [], "distance", {"q": 1 - contamination}).select("q").scalar()
     return scored.withColumn("is_anomaly", F.col("distance") > bound)

@@ -22,13 +22,13 @@ def _z_scores(df: DataFrame, columns: Mapping[str, tuple[str, int]]) -> DataFram
     stats = {}
     for c, _ in columns.values():
         stats[f"{c}_mean"], stats[f"{c}_std"] = F.avg(c), F.stddev_samp(c)
-    whole = grouping.scalar_struct(df, **stats)
+    whole = grouping.with_whole_stats(df, "_whole", **stats)
 
     def z(c: str, sign: int) -> Column:
-        score = F.try_divide(F.col(c) - whole[f"{c}_mean"], whole[f"{c}_std"]) * sign
+        score = F.try_divide(F.col(c) - F.col(f"_whole.{c}_mean"), F.col(f"_whole.{c}_std")) * sign
         return F.coalesce(score, F.lit(0.0))
 
-    return df.withColumns({name: z(c, sign) for name, (c, sign) in columns.items()})
+    return whole.withColumns({name: z(c, sign) for name, (c, sign) in columns.items()}).drop("_whole")
 
 
 def kpi_scores(lots: DataFrame, by_project: bool = True, weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -51,9 +51,9 @@ def kpi_scores(lots: DataFrame, by_project: bool = True, weights: Mapping[str, f
     score = (weights.get("lots", 0) * F.col("normalized_lots") + weights.get("value", 0) * F.col("normalized_value")
              + weights.get("time", 0) * F.col("normalized_time"))
     kpi = kpi.withColumn("kpi_score", score)
-    ends = grouping.scalar_struct(kpi, low=F.min("kpi_score"), high=F.max("kpi_score"))
-    scaled = F.try_divide(F.col("kpi_score") - ends["low"], ends["high"] - ends["low"])
-    return kpi.withColumn("kpi_score_normalized", F.coalesce(scaled, F.lit(0.0)))
+    ends = grouping.with_whole_stats(kpi, "_ends", low=F.min("kpi_score"), high=F.max("kpi_score"))
+    scaled = F.try_divide(F.col("kpi_score") - F.col("_ends.low"), F.col("_ends.high") - F.col("_ends.low"))
+    return ends.withColumn("kpi_score_normalized", F.coalesce(scaled, F.lit(0.0))).drop("_ends")
 
 
 def monthly_kpi(lots: DataFrame, successful: Iterable[str] = SUCCESSFUL, by_project: bool = True,

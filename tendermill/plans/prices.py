@@ -146,11 +146,10 @@ def risk_score(contracts: DataFrame, prepaid: str = "100%") -> DataFrame:
         F.count_if(F.col("payment_conditions").contains(prepaid)).alias("prepaid"), F.count_if("is_error").alias("errors"),
         F.count_if(days >= 0).alias("valid_days"), F.count_if(days == 0).alias("same_day"))
     p75 = exact_quantiles(contracts, [], "total_contract_amount_eur", {"q": 0.75}).select("q").scalar()
-    lot = grouping.scalar_struct(competition, lots=F.max("lots"), single=F.max("single"), mean=F.max("mean_suppliers"))
-    factors = rows.select(
-        F.try_divide(lot["single"], lot["lots"]).alias("single_share"), F.try_divide(top3, F.col("total")).alias("top3_share"),
+    factors = grouping.with_row(rows, competition, "_lot").select(
+        F.try_divide(F.col("_lot.single"), F.col("_lot.lots")).alias("single_share"), F.try_divide(top3, F.col("total")).alias("top3_share"),
         F.try_divide("prepaid", "contracts").alias("prepaid_share"), "errors",
-        F.try_divide("same_day", "valid_days").alias("same_day_share"), lot["mean"].alias("mean_suppliers"),
+        F.try_divide("same_day", "valid_days").alias("same_day_share"), F.col("_lot.mean_suppliers").alias("mean_suppliers"),
         p75.alias("priority_value"))
     points = (
         F.when(F.col("single_share") > 0.3, 3).when(F.col("single_share") > 0.1, 1).otherwise(0)

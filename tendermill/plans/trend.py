@@ -17,9 +17,11 @@ def series_fence(series: DataFrame, value: str, width: float = 1.5) -> DataFrame
 
     One row per month: plain exact percentiles hold the whole series easily.
     """
-    q = grouping.scalar_struct(series, q1=F.percentile(value, F.lit(0.25)), q3=F.percentile(value, F.lit(0.75)))
-    step = (q["q3"] - q["q1"]) * width
-    return series.withColumn("is_outlier", (F.col(value) < q["q1"] - step) | (F.col(value) > q["q3"] + step))
+    q = grouping.with_whole_stats(series, "_q", q1=F.percentile(value, F.lit(0.25)), q3=F.percentile(value, F.lit(0.75)))
+    low, high = F.col("_q.q1"), F.col("_q.q3")
+    step = (high - low) * width
+    outside = (F.col(value) < low - step) | (F.col(value) > high + step)
+    return q.withColumn("is_outlier", outside).drop("_q")
 
 
 def cleaned_months(series: DataFrame, value: str = "total") -> DataFrame:
