@@ -64,6 +64,11 @@ def top_in_group(df: DataFrame, keys: Iterable[str], k: int, *order: Column | st
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def ranked_rows(df: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
+    """Rank of every row of a frame known to be small (one row per group, month or class)."""
+    return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+
 def top_and_bottom(df: DataFrame, k: int, value: str, tie: str) -> DataFrame:
     best = top(df, k, F.desc(value), tie).withColumn("side", F.lit("top"))
     worst = top(df, k, F.asc(value), tie).withColumn("side", F.lit("bottom"))
