@@ -3,8 +3,13 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {"long": T.LongType, "string": T.StringType, "date": T.DateType, "double": T.DoubleType}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema from ``name type`` pairs, without needing a session at import."""
+    fields = (f.split() for f in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]()) for name, kind in fields])
 
 
 LOTS = _struct(
