@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rates to EUR.
@@ -51,3 +51,10 @@ def rate_of(currency: Column | str, rates: dict[str, float] | None = None) -> Co
 
 def updated_rates(changes: dict[str, float], rates: dict[str, float] | None = None) -> dict[str, float]:
     return {**(EUR_RATES if rates is None else rates), **changes}
+
+
+def rate_table(spark: SparkSession, rates: dict[str, float] | None = None) -> DataFrame:
+    """The rates as a local relation: its true size is known to the planner, a handful of rows."""
+    rates = EUR_RATES if rates is None else rates
+    rows = ", ".join(f"('{code}', {float(rate)!r}D)" for code, rate in rates.items())
+    return spark.sql(f"SELECT code, rate FROM VALUES {rows} AS t(code, rate)")

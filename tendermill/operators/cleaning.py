@@ -124,14 +124,16 @@ def in_eur(df: DataFrame, columns: Iterable[tuple[str, str, str]], unknown: str
     if unknown not in ("drop", "one", "null"):
         raise ValueError(f"unknown must be drop, one or null, not {unknown!r}")
     columns = list(columns)
-    rate = {currency: money.rate_of(currency, None if rates is None else dict(rates)) for _, currency, _ in columns}
+    table = money.rate_table(df.sparkSession, None if rates is None else dict(rates))
+    held = {currency: f"_rate_{currency}" for _, currency, _ in columns}
     out = df
-    if unknown == "drop":
-        for r in rate.values():
-            out = out.where(r.isNotNull())
+    # joined once per currency column; a looked-up expression would be repeated in every filter on the results
+    for c, h in held.items():
+        side = table.select(F.col("code").alias(f"_code_{c}"), F.col("rate").alias(h))
+        out = out.join(side, F.col(c) == F.col(f"_code_{c}"), "inner" if unknown == "drop" else "left").drop(f"_code_{c}")
     if unknown == "one":
-        rate = {currency: F.coalesce(r, F.lit(1.0)) for currency, r in rate.items()}
-    return out.withColumns({result: F.col(amount) * rate[currency] for amount, currency, result in columns})
+        out = out.fillna(1.0, subset=list(held.values()))
+    return out.withColumns({r: F.col(a) * F.col(held[c]) for a, c, r in columns}).drop(*held.values())
 
 
 def currencies_without_rate(df: DataFrame, currency: str) -> DataFrame:

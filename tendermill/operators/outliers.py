@@ -69,11 +69,15 @@ def mahalanobis(df: DataFrame, columns: Iterable[str], contamination: float = 0.
 
     The moments are one aggregate row. The covariance of the few columns is
     inverted in closed form by the adjugate, so rows only meet column expressions.
+    Like any estimator it is fitted first: two small jobs that bring one row each.
     """
     columns = list(columns)
     if len(columns) != 3:
         raise ValueError("three columns are compared: unit price, total and quantity")
-    kept = df.na.drop(subset=columns)
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    kept = df.where(complete)
     stats = {f"m{i}": F.avg(c) for i, c in enumerate(columns)}
     for i in range(3):
         for j in range(i, 3):
@@ -89,10 +93,10 @@ def mahalanobis(df: DataFrame, columns: Iterable[str], contamination: float = 0.
     moments = kept.agg(*(e.alias(n) for n, e in stats.items())).withColumn("det", determinant)
     weights = {f"w{i}{j}": F.try_divide(minor(i, j), F.col("det")) * (1 if i == j else 2)
                for i in range(3) for j in range(i, 3)}
-    # one row: three means and six weights; rows then meet plain products only
-    row = moments.select("m0", "m1", "m2", *(w.alias(n) for n, w in weights.items()))
-    x = [F.col(name) - F.col(f"_m.m{i}") for i, name in enumerate(columns)]
-    distance = sum((x[i] * x[j] * F.col(f"_m.w{i}{j}") for i in range(3) for j in range(i, 3)), F.lit(0.0))
-    scored = grouping.with_row(kept, row, "_m").withColumn("distance", distance).drop("_m")
-    bound = exact_quantiles(scored, [], "distance", {"q": 1 - contamination}).select("q").scalar()
-    return scored.withColumn("is_anomaly", F.col("distance") > bound)
+    # the fit: one row of three means and six weights, then one bound; rows meet plain literals
+    fit = moments.select("m0", "m1", "m2", *(w.alias(n) for n, w in weights.items())).first()
+    x = [F.col(name) - F.lit(fit[f"m{i}"]) for i, name in enumerate(columns)]
+    distance = sum((x[i] * x[j] * F.lit(fit[f"w{i}{j}"]) for i in range(3) for j in range(i, 3)), F.lit(0.0))
+    scored = kept.withColumn("distance", distance)
+    bound = exact_quantiles(scored, [], "distance", {"q": 1 - contamination}).first()["q"]
+    return scored.withColumn("is_anomaly", F.col("distance") > F.lit(bound))
