@@ -87,7 +87,7 @@ _DERIVED = ("years_active:6 price_volatility:6 contract_size_volatility:6 quanti
             "avg_contract_size_rank:6 seasonal_variance")
 
 
-@query("supplier_features", "A43 W9", with_views("contracts_eur", f"WITH {_FEATURES} SELECT * FROM f"),
+@query("supplier_features", "A43 W9 J12", with_views("contracts_eur", f"WITH {_FEATURES} SELECT * FROM f"),
        doubles=f"{_AGG_DOUBLES} {_DERIVED}", dates=_DATES)
 def supplier_features(spark, d):
     return suppliers.supplier_features(supplier_contracts(spark, d))

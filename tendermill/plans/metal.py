@@ -76,7 +76,10 @@ def price_to_tonne(price: Column, unit: Column, tonnes_per_metre: Column) -> Col
 
 
 def price_per_tonne(df: DataFrame, catalogue: DataFrame, price: str = "unit_price", name: str = "metal_product") -> DataFrame:
-    with_mass = catalogue_lookup(df, weights(catalogue), name, ["tonnes_per_metre"])
+    # the mass follows from the name alone, so each spelling is read once
+    spellings = catalogue.groupBy(F.lower(F.trim("metal_product")).alias("_key")).agg(
+        F.min("metal_product").alias("metal_product"))
+    with_mass = catalogue_lookup(df, weights(spellings), name, ["tonnes_per_metre"])
     return with_mass.withColumn(
         "price_per_tonne",
         price_to_tonne(F.col(price), F.coalesce("supplier_unit", "unit"), F.col("tonnes_per_metre")),
