@@ -27,12 +27,10 @@ def weekly_base(contracts: DataFrame, *keys: str) -> DataFrame:
     plain = weekly.groupBy(*group).agg(
         F.sum(AMOUNT).alias("total_amount"), F.avg("unit_price_eur").alias("avg_unit_price"),
         F.max(AMOUNT).alias("max_contract"), F.min(AMOUNT).alias("min_contract"),
-        F.stddev_samp(AMOUNT).alias("std_contract"))
-    # one distinct count per aggregation keeps rows from being multiplied
-    numbers = weekly.groupBy(*group).agg(F.countDistinct("contract_number").alias("contract_count"))
-    suppliers = weekly.groupBy(*group).agg(F.countDistinct("counterparty_name").alias("unique_counterparties"))
+        F.stddev_samp(AMOUNT).alias("std_contract"), F.countDistinct("contract_number").alias("contract_count"),
+        F.countDistinct("counterparty_name").alias("unique_counterparties"))
     medians = exact_quantiles(weekly, group, AMOUNT, {"median_contract": 0.5})
-    return plain.join(numbers, group).join(suppliers, group).join(medians, group)
+    return plain.join(medians, group)
 
 
 def lag_count(weeks: int) -> int:

