@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tendermill.llm import jaccard
+from tendermill.llm import exact, jaccard, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,50 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.pareto_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_pareto_mix": op2_pareto_mix,
+    "op3_exact_dedup": op3_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pareto_mix": """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5('17-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM d GROUP BY source),
+l AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 150 / 100
+             - coalesce(CAST(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level,
+         row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS place
+  FROM s),
+t AS (
+  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), weight * (SELECT arg_min(level, place) FROM l WHERE 2 * source_size >= weight * level)) AS target FROM l),
+c AS (
+  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS copies
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM c)
+SELECT doc_id, size, source_size, target,
+       CAST(floor(copies) * size + CASE WHEN copies > floor(copies) AND upto - size / 2 <= target - floor(copies) * source_size THEN size ELSE 0 END AS BIGINT) AS taken
+FROM r""",
+    "op3_exact_dedup": """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)""",
+}
