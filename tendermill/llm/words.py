@@ -94,3 +94,38 @@ def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
     for place in range(size):
         total += hashes[place: place + n] * PLACES[place]
     return mix(total)
+
+
+class Memo:
+    """Numbers the distinct hashes it has seen, so that work is done once for each and looked up afterwards."""
+
+    def __init__(self, limit: int = 2_000_000) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    @property
+    def full(self) -> bool:
+        return len(self.known) > self.limit
+
+    def see(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every hash, and the places of the new ones in the order of their numbers."""
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        hit = np.zeros(len(distinct), dtype=bool)
+        inside = at < len(self.known)
+        hit[inside] = self.known[at[inside]] == distinct[inside]
+        number = np.empty(len(distinct), dtype=np.int64)
+        number[hit] = self.number[at[hit]]
+        number[~hit] = len(self.known) + np.arange((~hit).sum())
+        self.number = np.insert(self.number, at[~hit], number[~hit])
+        self.known = np.insert(self.known, at[~hit], distinct[~hit])
+        return number[inverse], first[~hit]
+
+
+def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices of many ranges, one range after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
