@@ -9,7 +9,7 @@ A text is described by this difference per byte over the whole text, and by its
 by length too; a logistic function fitted on rows the models have not seen turns them into a score.
 
 Labels come from at most about ``SAMPLE`` rows, chosen by a hash of the doc_id, and only from those the caller calls
-known: half of them fit the n-grams, half the logistic function. So tables and broadcast are bounded.
+known: three quarters of them fit the n-grams, a quarter the logistic function. So tables and broadcast are bounded.
 
 Defined results: null or blank text has no words and gets the score of a text without evidence; labels that are null,
 repeated against each other or without a document are left out; without labels of both classes the score is the share of
@@ -185,7 +185,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, known, doc_id: str = "doc_id",
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     share = min(1.0, sample / max(1, labels.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
-    labels = checkpointed(labels.where(draw < int(share * (1 << 20))).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))))
+    labels = checkpointed(labels.where(draw < int(share * (1 << 20))).withColumn("half", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(4)) == 1).cast("int")))
     rows = {(r["half"], r["toxic"]): r["count"] for r in labels.groupBy("half", "toxic").count().collect()}
     if len(rows) < 4:
         toxic = sum(n for (_, t), n in rows.items() if t)
