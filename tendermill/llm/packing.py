@@ -128,7 +128,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
          keep_ids: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), with ``keep_ids`` also their ids."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = stored(encoded(docs, end_id, path))
+    table = stored(encoded(docs, end_id, path), "zstd")
     totals = table.groupBy("task").agg(F.sum("tokens").alias("n"))
     earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each task that wrote the table

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import chat, exact, jaccard, mixing, packing, tokens, toxicity
+from tendermill.llm import chat, exact, jaccard, mixing, packing, scoring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(added)))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.lm_scores(_table(spark, sf_dir, "documents"), lambda doc_id: toxicity.fold(doc_id, 10) == 0)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.fold(F.col("doc_id"), 4) == 2
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), lambda doc_id: toxicity.fold(doc_id, 4) != 2)
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
+    "op9_lm_scores": op9_lm_scores,
     "op10_toxicity": op10_toxicity,
 }
 
