@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import chat, exact, jaccard, mixing, packing, scoring, tokens, toxicity
+from tendermill.llm import chat, exact, jaccard, mixing, neighbours, packing, scoring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_near_vectors": op5_near_vectors,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
