@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import chat, exact, jaccard, mixing, neighbours, packing, scoring, tokens, toxicity
+import corpus_pipeline
+from tendermill.llm import chat, exact, jaccard, lines, mixing, neighbours, packing, scoring, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -59,12 +64,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_vectors": op5_near_vectors,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
     "op9_lm_scores": op9_lm_scores,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,3 +107,5 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTIT
        row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)""",
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
