@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendermill.llm.store import checkpointed
+from tendermill.llm.store import checkpointed, stored
 
 #: Words that make a run long enough to go: passages, not headings or stock sentences.
 MIN_WORDS = 25
@@ -54,9 +54,10 @@ def _ranked(keys: DataFrame, *by: str) -> DataFrame:
 
 def positions(lines: DataFrame) -> DataFrame:
     """Positions of repeated lines: ``pos`` follows the documents' order, and is consecutive along lines that stand together."""
-    lines = lines.dropDuplicates(["doc", "key", "ord"])
+    lines = stored(lines)
     ids = _ranked(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "line")
-    kept = lines.join(ids, "line").drop("line")
+    # documents that are the same row again count once
+    kept = lines.join(ids, "line").groupBy("doc", "key", "ord").agg(*(F.min(c).alias(c) for c in ("line_no", "words", "rank")))
     order = [F.col("doc").asc_nulls_last(), F.col("key"), F.col("ord")]
     kept = checkpointed(kept.repartitionByRange(*order[:2]).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()))
     island = (F.col("pos") - F.col("ord")).alias("island")
@@ -111,10 +112,10 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """``docs`` without later copies of repeated runs, and two columns: ``n_lines`` of the source and ``n_removed``."""
     rows = docs.withColumn("_doc", F.col(doc_id)).withColumn("_text", F.col(text).cast("string"))
     gone = later_copies(rows, min_words).groupBy("doc", "key").agg(F.collect_list("line_no").alias("_gone"))
-    gone = checkpointed(gone)
+    gone = checkpointed(gone.withColumnsRenamed({"doc": "_gone_doc", "key": "_gone_key"}))
     if gone.count() <= BROADCAST_DOCUMENTS:
         gone = F.broadcast(gone)
-    mine = F.col("_doc").eqNullSafe(F.col("doc")) & (_key() == F.col("key"))
+    mine = F.col("_doc").eqNullSafe(F.col("_gone_doc")) & (_key() == F.col("_gone_key"))
     rows = rows.join(gone, mine, "left")
     parts = F.split("_text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))

@@ -186,13 +186,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, known, doc_id: str = "doc_id",
     share = min(1.0, sample / max(1, labels.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
     labels = checkpointed(labels.where(draw < int(share * (1 << 20))).withColumn("half", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(4)) == 1).cast("int")))
-    rows = {(r["half"], r["toxic"]): r["count"] for r in labels.groupBy("half", "toxic").count().collect()}
-    if len(rows) < 4:
+    labelled = checkpointed(docs.join(small_side(labels), "doc_id").select("doc_id", "text", "toxic", "half"))
+    rows = {(r["half"], r["toxic"]): r["count"] for r in labelled.groupBy("half", "toxic").count().collect()}
+    table = gram_counts(labelled.where("half = 0").select("text", "toxic")).toPandas()
+    if len(rows) < 4 or not len(table):
         toxic = sum(n for (_, t), n in rows.items() if t)
         constant = toxic / max(1, sum(rows.values()))
         return docs.select("doc_id", F.lit(constant).alias("score"), F.lit(int(constant >= least)).alias("predicted"))
-    labelled = checkpointed(docs.join(small_side(labels), "doc_id").select("doc_id", "text", "toxic", "half"))
-    table = gram_counts(labelled.where("half = 0").select("text", "toxic")).toPandas()
     ratio = context.broadcast(Ratio(table.gram.to_numpy(np.int64).view(np.uint64), table.toxic.to_numpy(), table.ordinary.to_numpy()))
     vector = array_to_vector(F.array(*(f"f{k}" for k in range(FEATURES)))).alias("features")
     fitted = described(labelled.where("half = 1").select("doc_id", "text"), ratio).join(labels, "doc_id")
