@@ -57,7 +57,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.hasher, self.memo = words.Hasher(), words.Memo()
+        self.hasher, self.memo = words.Hasher(), words.Memo(1_000_000)
         self.clear()
 
     def clear(self) -> None:
@@ -73,9 +73,11 @@ class Encoder:
             number, new = self.memo.see(self.hasher.ranges(data, starts, ends))
             raw = data.tobytes()
             spelled = [raw[a:b].decode("utf-8") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+            # a few at a time: what the tokenizer returns is large
+            found = [np.array(e.ids, dtype=np.uint32) for k in range(0, len(spelled), 2048)
+                     for e in self.tokenizer.encode_batch_fast(spelled[k: k + 2048], add_special_tokens=False)]
             length = np.array([len(x) for x in found], dtype=np.int64)
-            flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(length.sum()))
+            flat = np.concatenate(found) if found else self.ids[:0]
             self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(length) - length))
             self.length = np.concatenate((self.length, length))
             self.ids = np.concatenate((self.ids, flat))

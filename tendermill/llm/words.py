@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(column: pa.Array, limit: int = 1 << 21):
+def pieces(column: pa.Array, limit: int = 1 << 20):
     """(first row, bytes, offsets) of consecutive rows holding about ``limit`` bytes; a longer text is a piece of its own.
 
     Null counts as empty.
@@ -76,7 +76,7 @@ class Hasher:
     def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(data)
         if len(self.up) <= n:
-            size = max(n + 1, 1 << 21)
+            size = max(n + 1, 1 << 20)
             up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.cumprod(up), np.cumprod(down)
