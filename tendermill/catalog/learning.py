@@ -9,6 +9,7 @@ from tendermill.catalog.pricing import contracts_eur, lots_eur
 from tendermill.catalog.registry import query
 from tendermill.catalog.suppliers import supplier_contracts
 from tendermill.functions.text import before_bracket
+from tendermill.operators import grouping
 from tendermill.plans import clusters, density, kpi, regression, series, suppliers
 from tendermill.session import checkpointed
 from tendermill.sources import views
@@ -122,14 +123,14 @@ def _prepared(spark, d):
     contracts = contracts_eur(spark, d, "contract_signing_date", "contract_number", "counterparty_name")
     features = series.weekly_features(contracts)
     weekly = checkpointed(series.weekly_base(contracts).select("contract_week", "total_amount"))
-    return regression.prepared(features, weekly.count()), weekly
+    return regression.prepared(features), weekly
 
 
 @query("feature_ranking", "K11 J11")
 def feature_ranking(spark, d):
     data, _ = _prepared(spark, d)
     ranked = regression.feature_ranking(data.train, data.columns)
-    return ranked.orderBy(F.desc("score"), "feature").limit(regression.kept_features(data.train.count()))
+    return grouping.ranked_rows(ranked, F.desc("score"), "feature")
 
 
 @query("model_comparison", "K12")
@@ -142,5 +143,4 @@ def model_comparison(spark, d):
 @query("next_week_prediction", "K13")
 def next_week_prediction(spark, d):
     contracts = contracts_eur(spark, d, "contract_signing_date", "contract_number", "counterparty_name", "project_name")
-    projects = [r[0] for r in views.contracts(spark, d, "project_name").distinct().limit(4).collect()]
-    return regression.next_week_by_project(contracts, sorted(projects), trees=50, rounds=10)
+    return regression.next_week_by_project(contracts, trees=50, rounds=10)

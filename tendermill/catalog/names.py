@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tendermill.catalog.pricing import contracts_eur
 from tendermill.catalog.registry import query, with_views
 from tendermill.functions import attributes, text
+from tendermill.operators import grouping
 from tendermill.plans import comparables, metal
 from tendermill.sources import views
 
@@ -129,22 +130,7 @@ def similar_names(spark, d):
     WHERE rank <= 500"""))
 def dearest_in_block(spark, d):
     c = contracts_eur(spark, d, "row_key", "metal_product").withColumn("word", text.first_word("metal_product"))
-    return comparables.dearest_in_block(c, ["word"], "unit_price_eur", "row_key").select("row_key", "word", "rank")
-
-
-def _sampled(spark, d):
-    c = contracts_eur(spark, d, "row_key", "metal_product").withColumn("word", text.first_word("metal_product"))
-    return comparables.stratified_sample(c, ["word"], "unit_price_eur", "row_key")
-
-
-@query("stratified_sample", "T7")
-def stratified_sample(spark, d):
-    return _sampled(spark, d).select("row_key", "word", "stratum", "unit_price_eur", "block_rows")
-
-
-@query("sampled_similar_names", "M9 T7")
-def sampled_similar_names(spark, d):
-    return comparables.bounded_similar_names(comparables.named_features(_sampled(spark, d), "metal_product"), 0.75)
+    return grouping.top_in_group(c, ["word"], 500, F.desc("unit_price_eur"), "row_key").select("row_key", "word", "rank")
 
 
 def _matches(spark, d):

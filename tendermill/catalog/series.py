@@ -62,7 +62,7 @@ def weekly_shape(spark, d):
     + " FROM f"), doubles=" ".join(f"{c}_lag_{i}:2" for c in series.LAGGED for i in (1, 2, 3, 4)
                                    if c not in ("contract_count", "unique_counterparties")), dates="contract_week")
 def weekly_lags(spark, d):
-    lagged = series.with_lags(series.with_shape(_weekly(spark, d)), series.LAGGED, series.lag_count(357))
+    lagged = series.with_lags(series.with_shape(_weekly(spark, d)), series.LAGGED, series.LAGS)
     return lagged.select("contract_week", *(f"{c}_lag_{i}" for c in series.LAGGED for i in (1, 2, 3, 4)))
 
 

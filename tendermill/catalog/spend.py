@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import date
 
 from pyspark.sql import functions as F
 
 from tendermill.catalog.registry import query, with_views
+from tendermill.functions.money import EUR_RATES
 from tendermill.operators import cleaning, grouping
 from tendermill.plans import spend
 from tendermill.sources import views
 
 DISCIPLINES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-SOME_CURRENCIES = ["EUR", "USD", "RUB", "KZT"]
+CURRENCIES = list(EUR_RATES)
 LOT_EUR = [("total_price", "currency", "total_price_eur")]
 CONTRACT_EUR = [("total_contract_amount", "contract_currency", "total_contract_amount_eur")]
 
@@ -124,24 +124,17 @@ _TOP10 = "SELECT winner_name FROM lots_eur GROUP BY winner_name ORDER BY sum(tot
 
 
 @query("supplier_by_currency", "A12 J10", with_views("lots_eur", f"SELECT winner_name, "
-       + ", ".join(f"sum(CASE WHEN currency = '{x}' THEN total_price ELSE 0.0 END) AS \"{x}\"" for x in SOME_CURRENCIES)
+       + ", ".join(f"sum(CASE WHEN currency = '{x}' THEN total_price ELSE 0.0 END) AS \"{x}\"" for x in CURRENCIES)
        + f" FROM lots_eur WHERE winner_name IN ({_TOP10}) GROUP BY winner_name"),
-       doubles=" ".join(f"{x}:2" for x in SOME_CURRENCIES))
+       doubles=" ".join(f"{x}:2" for x in CURRENCIES))
 def supplier_by_currency(spark, d):
-    return spend.supplier_by_currency(lots_eur(spark, d, "winner_name"), SOME_CURRENCIES)
+    return spend.supplier_by_currency(lots_eur(spark, d, "winner_name"), CURRENCIES)
 
 
-_MONTHS = grouping.months_between(date(1997, 1, 1), date(1997, 12, 31))
-
-
-@query("supplier_by_month", "A13", with_views("lots_eur", "SELECT winner_name, " + ", ".join(
-    f"sum(CASE WHEN strftime(close_date, '%Y-%m') = '{m}' THEN total_price_eur ELSE 0.0 END) AS \"m{m.replace('-', '_')}\""
-    for m in _MONTHS) + f""" FROM lots_eur WHERE winner_name IN ({_TOP10})
-    AND close_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY winner_name"""),
-    doubles=" ".join(f"m{m.replace('-', '_')}:2" for m in _MONTHS))
+@query("supplier_by_month", "A13", with_views("lots_eur", f"""SELECT winner_name, strftime(close_date, '%Y-%m') AS month,
+    sum(total_price_eur) AS total FROM lots_eur WHERE winner_name IN ({_TOP10}) GROUP BY 1, 2"""), doubles="total:2")
 def supplier_by_month(spark, d):
-    out = spend.supplier_by_month(lots_eur(spark, d, "winner_name", "close_date"), date(1997, 1, 1), date(1997, 12, 31))
-    return out.withColumnsRenamed({m: f"m{m.replace('-', '_')}" for m in _MONTHS})
+    return spend.supplier_months(lots_eur(spark, d, "winner_name", "close_date"))
 
 
 _TOP10C = ("SELECT counterparty_name FROM contracts_eur GROUP BY counterparty_name "

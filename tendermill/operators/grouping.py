@@ -19,6 +19,16 @@ def exact_sum(column: Column | str, digits: int = 8) -> Column:
     return F.sum(c.cast(f"decimal(28,{digits})")).cast("double")
 
 
+def null_safe_join(df: DataFrame, per_group: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
+    """Join one row per group back to the rows; rows with null keys are a group like others."""
+    keys = list(keys)
+    right = per_group.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return df.join(right, same, how).drop(*(f"_key_{k}" for k in keys))
+
+
 def with_group_stats(df: DataFrame, keys: Iterable[str], **stats: Column) -> DataFrame:
     """Group statistics joined back to the rows.
 
@@ -27,7 +37,9 @@ def with_group_stats(df: DataFrame, keys: Iterable[str], **stats: Column) -> Dat
     """
     keys = list(keys)
     per_group = df.groupBy(*keys).agg(*(c.alias(n) for n, c in stats.items()))
-    return df.join(per_group, keys)
+    if not keys:
+        raise ValueError("name the group's keys; with_whole_stats needs none")
+    return null_safe_join(df, per_group, keys)
 
 
 def with_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:

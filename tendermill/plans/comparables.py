@@ -128,10 +128,10 @@ def size_candidates(features: DataFrame) -> DataFrame:
     return joined.select("name1", "name2").distinct()
 
 
-def unsized_candidates(features: DataFrame, salts: int = 16) -> DataFrame:
-    """Pairs of one category and type that state no dimension in common, where the rest can still reach 0.85.
+def unsized_candidates(features: DataFrame, threshold: float = 0.85, salts: int = 16) -> DataFrame:
+    """Pairs of one category and type that state no dimension in common, where the rest can still reach the threshold.
 
-    Their size counts as neutral, so material, standard and text must add up to 2.1.
+    Their size counts as neutral, so material, standard and text must add up to ten times what the threshold exceeds 0.64 by.
     The block is split by a salt: a category that holds most names is shared by many tasks.
     """
     mask = F.concat(*(F.when(F.col(f"f.{d}").isNull(), "0").otherwise("1") for d in DIMENSIONS))
@@ -149,7 +149,7 @@ def unsized_candidates(features: DataFrame, salts: int = 16) -> DataFrame:
     rest = _stated(F.col("a.material"), F.col("b.material"), 0.5) + _stated(F.col("a.standard"), F.col("b.standard"), 0.3)
     # no text ratio exceeds twice the shorter length over both lengths
     most = 2 * F.least("a.len", "b.len") / (F.col("a.len") + F.col("b.len"))
-    return joined.where(apart & (rest + most >= 2.1 - 1e-9)).select(F.col("a.name").alias("name1"), F.col("b.name").alias("name2"))
+    return joined.where(apart & (rest + most >= (threshold - 0.64) * 10 - 1e-9)).select(F.col("a.name").alias("name1"), F.col("b.name").alias("name2"))
 
 
 def similar_names(features: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -159,19 +159,13 @@ def similar_names(features: DataFrame, threshold: float = 0.85) -> DataFrame:
     candidate sets hold every pair that can pass.
     """
     if threshold < 0.81:
-        raise ValueError("below 0.81 pairs without size agreement can pass: sample first and use bounded_similar_names")
-    candidates = size_candidates(features).unionByName(unsized_candidates(features)).distinct()
+        raise ValueError("below 0.81 pairs without size agreement can pass")
+    candidates = size_candidates(features).unionByName(unsized_candidates(features, threshold)).distinct()
     slim1, slim2 = (_side(features, i) for i in (1, 2))
     full = candidates.join(slim1.drop("category", "type"), "name1").join(slim2, "name2")
     return scored_pairs(full, threshold).select("category", "type", "name1", "name2", "similarity")
 
 
-def bounded_similar_names(sampled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs inside blocks a sampling has bounded (at most a few hundred names each)."""
-    joined = _side(sampled, 1).join(_side(sampled, 2), ["category", "type"]).where(F.col("name1") < F.col("name2"))
-    return scored_pairs(joined, threshold).select("category", "type", "name1", "name2", "similarity")
-
-
 def own_similarity(features: DataFrame) -> DataFrame:
     """A name against itself: text, category and type agree, unstated parts stay neutral."""
     known = features.where(F.col("f.category").isNotNull())
@@ -180,34 +174,6 @@ def own_similarity(features: DataFrame) -> DataFrame:
                         F.col("name").alias("name2"), F.least(F.lit(1.0), base).alias("similarity"))
 
 
-# ---------------------------------------------------------------- caps of the sampled variant
-
-
-def dearest_in_block(df: DataFrame, block: list[str], price: str, tie: str, k: int = 500) -> DataFrame:
-    return grouping.top_in_group(df, block, k, F.desc(price), tie)
-
-
-def stratified_sample(df: DataFrame, block: list[str], price: str, key: str, most: int = 500,
-                      strata=((10.0, 200), (50.0, 200), (math.inf, 100))) -> DataFrame:
-    """Blocks above ``most`` rows keep a fixed number of rows per price stratum, chosen by a hash of the key.
-
-    The sample is the feature here: it bounds every block.
-    """
-    stratum, quota = None, None
-    for i, (below, n) in enumerate(strata):
-        inside = F.col(price) < below
-        stratum = F.when(inside, i) if stratum is None else stratum.when(inside, i)
-        quota = F.when(inside, n) if quota is None else quota.when(inside, n)
-    sized = grouping.with_group_stats(df, block, block_rows=F.count("*"))
-    marked = sized.withColumns({"stratum": stratum, "_quota": quota})
-    kept = marked.where(F.col("block_rows") <= most)
-    large = marked.where(F.col("block_rows") > most)
-    largest = max(n for _, n in strata)
-    # the constant bound lets each map side cut before the shuffle; the quota then decides
-    sampled = grouping.top_in_group(large, [*block, "stratum"], largest, F.xxhash64(key), key, rank="_rank")
-    return kept.unionByName(sampled.where(F.col("_rank") <= F.col("_quota")).drop("_rank")).drop("_quota")
-
-
 # ---------------------------------------------------------------- prices
 
 

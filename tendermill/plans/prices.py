@@ -24,7 +24,7 @@ def supplier_prices(lots: DataFrame) -> DataFrame:
         F.countDistinct("lot_number").alias("lots"), F.sum("supplier_qty").alias("quantity"),
         F.max("close_date").alias("last_date"))
     medians = exact_quantiles(lots, keys, "unit_price_eur", {"median_price": 0.5})
-    return plain.join(medians, keys, "left")
+    return grouping.null_safe_join(plain, medians, keys, "left")
 
 
 def supplier_price_lots(lots: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ class Prepared:
     use_log: bool
 
 
-def prepared(features: DataFrame, weeks: int) -> Prepared:
+def prepared(features: DataFrame, test_share: float = series.TEST_SHARE, use_log: bool = True) -> Prepared:
     """Complete rows, standardised on all of them, the last share kept for testing."""
     columns = [f.name for f in features.schema.fields if f.name not in NOT_FEATURES]
     table = checkpointed(features.select("contract_week", "target", *(F.col(c).cast("double").alias(c) for c in columns)))
@@ -65,14 +65,10 @@ def prepared(features: DataFrame, weeks: int) -> Prepared:
     last = table.na.drop(subset=columns).orderBy(F.desc("contract_week")).limit(1)
     assembler = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(assembler.transform(known))
-    split = series.chronological_split(known, series.test_share(weeks))
+    split = series.chronological_split(known, test_share)
     ready = scaler.transform(assembler.transform(split)).drop("raw").persist()
     return Prepared(ready.where(~F.col("is_test")), ready.where("is_test"),
-                    scaler.transform(assembler.transform(last)).drop("raw"), columns, weeks >= 40)
-
-
-def kept_features(rows: int) -> int:
-    return max(10, min(20, rows // 15))
+                    scaler.transform(assembler.transform(last)).drop("raw"), columns, use_log)
 
 
 def feature_ranking(train: DataFrame, columns: list[str], trees: int = 100, buckets: int = 8) -> DataFrame:
@@ -145,16 +141,14 @@ def next_week(data: Prepared, model, level: DataFrame) -> DataFrame:
                         ((F.col("predicted") - F.col("_s.mean")) / F.col("_s.mean") * 100).alias("deviation_percent"))
 
 
-def next_week_by_project(contracts: DataFrame, projects: list[str], trees: int = 200, rounds: int = 200,
-                         pooled_above: int = 3) -> DataFrame:
-    """One prediction per project when there are few, else one for all contracts together."""
-    groups = [(p, contracts.where(F.col("project_name") == p)) for p in projects] if len(projects) <= pooled_above else [
-        ("all", contracts)]
+def next_week_by_project(contracts: DataFrame, projects: list[str] | None = None, trees: int = 200, rounds: int = 200) -> DataFrame:
+    """One prediction for each of the ``projects``; without them one for all contracts together."""
+    groups = [("all", contracts)] if projects is None else [(p, contracts.where(F.col("project_name") == p)) for p in projects]
     out = []
     for name, rows in groups:
         features = series.weekly_features(rows)
         weekly = checkpointed(series.weekly_base(rows).select("contract_week", "total_amount"))
-        data = prepared(features, weekly.count())
+        data = prepared(features)
         ranked, fitted = compared_models(data, trees, rounds)
         out.append(next_week(data, fitted[ranked[0][0]], weekly).select(
             F.lit(name).alias("project"), F.lit(ranked[0][0]).alias("model"), "*"))

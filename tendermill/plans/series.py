@@ -30,15 +30,11 @@ def weekly_base(contracts: DataFrame, *keys: str) -> DataFrame:
         F.stddev_samp(AMOUNT).alias("std_contract"), F.countDistinct("contract_number").alias("contract_count"),
         F.countDistinct("counterparty_name").alias("unique_counterparties"))
     medians = exact_quantiles(weekly, group, AMOUNT, {"median_contract": 0.5})
-    return plain.join(medians, group)
+    return grouping.null_safe_join(plain, medians, group)
 
 
-def lag_count(weeks: int) -> int:
-    return 1 if weeks < 40 else 2 if weeks < 80 else 4
-
-
-def test_share(weeks: int) -> float:
-    return 0.2 if weeks < 40 else 0.25 if weeks < 80 else 0.3
+#: Lags of a weekly series and its last share kept for testing; callers with short series pass smaller ones.
+LAGS, TEST_SHARE = 4, 0.3
 
 
 def with_shape(weekly: DataFrame, *keys: str) -> DataFrame:
@@ -48,7 +44,7 @@ def with_shape(weekly: DataFrame, *keys: str) -> DataFrame:
     total, before = F.col("total_amount"), F.lag("total_amount").over(order)
     change = total - before
     q75 = weekly.groupBy(*keys).agg(F.percentile("max_contract", F.lit(0.75)).alias("_large"))
-    joined = weekly.join(q75, list(keys)) if keys else weekly.withColumn("_large", q75.scalar())
+    joined = grouping.null_safe_join(weekly, q75, keys) if keys else weekly.withColumn("_large", q75.scalar())
     out = joined.withColumns({
         "week": week,
         "week_sin": F.sin(2 * math.pi * week / 52),
@@ -94,17 +90,16 @@ def with_lags(features: DataFrame, columns, lags: int, *keys: str) -> DataFrame:
 
 
 def with_target(features: DataFrame, use_log: bool, *keys: str) -> DataFrame:
-    """Next week's smoothed amount, on a log scale when the series is long enough."""
+    """Next week's smoothed amount, on a log scale if asked for."""
     order = Window.partitionBy(*keys).orderBy("contract_week")
     target = F.lead("amount_ma3").over(order)
     return features.withColumn("target", F.log1p(F.greatest(target, F.when(target.isNotNull(), 1.0))) if use_log else target)
 
 
-def weekly_features(contracts: DataFrame, *keys: str) -> DataFrame:
-    """The full feature table. The number of weeks, one small count, sets lags and scale."""
+def weekly_features(contracts: DataFrame, *keys: str, lags: int = LAGS, use_log: bool = True) -> DataFrame:
+    """The full feature table."""
     shaped = with_shape(weekly_base(contracts, *keys), *keys)
-    weeks = contracts.select(values.week_start("contract_signing_date")).distinct().count()
-    return with_target(with_lags(shaped, LAGGED, lag_count(weeks), *keys), weeks >= 40, *keys)
+    return with_target(with_lags(shaped, LAGGED, lags, *keys), use_log, *keys)
 
 
 def chronological_split(features: DataFrame, share: float, order: str = "contract_week") -> DataFrame:

@@ -107,6 +107,12 @@ def supplier_by_month(lots: DataFrame, start: date, end: date, k: int = 10) -> D
                             F.sum("total_price_eur"))
 
 
+def supplier_months(lots: DataFrame, k: int = 10) -> DataFrame:
+    """The k largest suppliers' totals of every month they have, as rows."""
+    kept = grouping.keep_keys_of(lots, top_suppliers(lots, "winner_name", "total_price_eur", k), "winner_name")
+    return kept.groupBy("winner_name", F.date_format("close_date", "yyyy-MM").alias("month")).agg(F.sum("total_price_eur").alias("total"))
+
+
 def top_supplier_quarters(contracts: DataFrame, k: int = 10) -> DataFrame:
     best = top_suppliers(contracts, "counterparty_name", "total_contract_amount_eur", k)
     kept = grouping.keep_keys_of(contracts, best, "counterparty_name")

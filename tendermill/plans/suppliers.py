@@ -42,19 +42,18 @@ def supplier_aggregates(contracts: DataFrame) -> DataFrame:
     return stats.join(counts, SUPPLIER)
 
 
-def seasonal_variance(contracts: DataFrame, least_rows: int = 100) -> DataFrame:
+def seasonal_variance(contracts: DataFrame) -> DataFrame:
     """Variance of a supplier's contract counts over the months of the year seen anywhere; absent months count 0.
 
     Absent months add nothing to the sums, so no spine of months is joined.
     """
     month = F.month("contract_signing_date")
     seen = contracts.agg(F.countDistinct(month)).scalar()
-    rows = contracts.agg(F.count("*")).scalar()
     counts = contracts.groupBy(SUPPLIER, month.alias("moy")).agg(F.count("*").alias("n"))
     squares, total = F.sum(F.col("n") * F.col("n")), F.sum("n")
     summed = counts.groupBy(SUPPLIER).agg(squares.alias("_sq"), total.alias("_n"))
     variance = F.try_divide(F.col("_sq") - F.col("_n") * F.col("_n") / seen, seen - 1)
-    return summed.select(SUPPLIER, F.when(rows > least_rows, variance).otherwise(0.0).alias("seasonal_variance"))
+    return summed.select(SUPPLIER, variance.alias("seasonal_variance"))
 
 
 def supplier_features(contracts: DataFrame) -> DataFrame:
@@ -101,7 +100,7 @@ def simple_supplier_features(deals: DataFrame, supplier: str, amount: str) -> Da
         F.sum(amount).alias("total_amount"), F.count("*").alias("contract_count"), F.avg(amount).alias("avg_amount"),
         F.coalesce(F.stddev_samp(amount), F.lit(0.0)).alias("amount_std"))
     q = exact_quantiles(deals, [supplier], amount, {"median_amount": 0.5, "_q1": 0.25, "_q3": 0.75})
-    return plain.join(q, supplier, "left").withColumns({
+    return grouping.null_safe_join(plain, q, [supplier], "left").withColumns({
         "amount_cv": F.coalesce(F.try_divide("amount_std", "avg_amount"), F.lit(0.0)),
         "log_total_amount": F.log1p("total_amount"), "log_avg_amount": F.log1p("avg_amount"),
         "log_contract_count": F.log1p("contract_count"),

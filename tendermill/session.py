@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -12,6 +10,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,16 +27,14 @@ def session(master: str | None = None, app: str = "tendermill", **conf: str) ->
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which outlives a lost executor.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only a local session
-    without that setting (tests) gets a folder of its own.
+    The folder is the one named in ``spark.checkpoint.dir``; where that is unset, one in
+    the warehouse, which all executors share as well.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tendermill-checkpoint-")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

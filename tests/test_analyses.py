@@ -43,11 +43,6 @@ def test_first_window_rows_are_null(spark):
     assert got["moving_mean"].isna().tolist() == [True, True, False, False]
 
 
-@pytest.mark.parametrize("weeks, lags, share", [(30, 1, 0.2), (60, 2, 0.25), (300, 4, 0.3)])
-def test_lags_by_length(weeks, lags, share):
-    assert (series.lag_count(weeks), series.test_share(weeks)) == (lags, share)
-
-
 def test_about_one_row_in_twenty_is_anomalous(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame(rng.normal(size=(1000, 3)), columns=["a", "b", "c"])
@@ -97,7 +92,7 @@ def test_seeds_found_their_clusters(spark):
 
 
 # model fits and reports over the same matches take minutes: all of them only when asked for
-QUICK = {"shape_attributes", "name_dimensions", "name_features", "quick_name_scores", "stratified_sample", "comparable_offers",
+QUICK = {"shape_attributes", "name_dimensions", "name_features", "quick_name_scores", "comparable_offers",
          "cluster_profile", "actor_clusters", "efficiency_groups"}
 ROWS_ONLY = sorted(n for n, q in load().items() if q.sql is None and (n in QUICK or os.environ.get("RUN_SLOW")))
 

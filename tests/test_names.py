@@ -108,15 +108,6 @@ def test_comparable_offers_hold_the_extremes_of_all_pairs(spark):
     assert all(r["supplier1"] != r["supplier2"] for r in offers)
 
 
-def test_stratified_sample_keeps_quotas(spark):
-    df = spark.range(2000).select(F.col("id").cast("string").alias("key"), F.lit("b").alias("block"),
-                                  (F.col("id") % 100).cast("double").alias("price"))
-    got = comparables.stratified_sample(df, ["block"], "price", "key")
-    assert {r["stratum"]: r["n"] for r in got.groupBy("stratum").agg(F.count("*").alias("n")).collect()} == {0: 200, 1: 200, 2: 100}
-    small = comparables.stratified_sample(df.where("price < 10"), ["block"], "price", "key")
-    assert small.count() == 200
-
-
 def test_target_and_detailed_comparison(spark):
     df = spark.createDataFrame([(n,) for n in NAMES], "product_name string")
     found = comparables.matches_of("Уголок 50х50х5", df, "product_name", 0.25)
