@@ -32,11 +32,14 @@ _BLANK_LAST = [0x85, 0xA0, 0xA8, 0xA9, 0xAF, 0x9F, *range(0x80, 0x8B)]
 _BLANK_BEFORE = [0xC2, 0x9A, 0x80, 0x81]
 
 
-def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the parts of texts, and for each text the number of parts before it."""
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of texts, for each text the number of parts before it, and which parts are plain.
+
+    A plain part begins with white space and ends with something else: one after the other they stay parts of their own.
+    """
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(len(offsets), dtype=np.int64)
+        return none, none, np.zeros(len(offsets), dtype=np.int64), none == 0
     last, before = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
     last[_BLANK_LAST], before[_BLANK_BEFORE] = True, True
     blank = words.SPACE[data]
@@ -46,7 +49,8 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     cut[1:] = blank[1:] & ~maybe[:-1]
     cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
     starts = np.flatnonzero(cut)
-    return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
+    ends = np.append(starts[1:], len(data))
+    return starts, ends, np.searchsorted(starts, offsets), blank[starts] & ~maybe[ends - 1]
 
 
 class Encoder:
@@ -57,6 +61,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # one letter a byte
         self.hasher, self.memo = words.Hasher(), words.Memo(1_000_000)
         self.clear()
 
@@ -64,23 +72,36 @@ class Encoder:
         self.memo.clear()
         self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
+        """Add the ids of new parts. Plain parts are encoded many at a time, and told apart by the bytes of their ids."""
+        size, length = ends - starts, np.zeros(len(starts), dtype=np.int64)
+        one = np.flatnonzero(plain)
+        groups = [one[k: k + 4096] for k in range(0, len(one), 4096)] + [np.array([k]) for k in np.flatnonzero(~plain)]
+        found, at = [], [(starts[g].tolist(), ends[g].tolist()) for g in groups]
+        for k in range(0, len(groups), 16):
+            texts = [b"".join(raw[a:b] for a, b in zip(*x)).decode("utf-8") for x in at[k: k + 16]]
+            for group, e in zip(groups[k: k + 16], self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=np.uint32)
+                upto, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(size[group])
+                last = np.searchsorted(upto, wanted)
+                if last[-1] != len(ids) - 1 or (upto[last] != wanted).any():
+                    raise ValueError("the tokenizer must keep every byte, and start a token at white space")
+                length[group] = np.diff(last, prepend=-1)
+                found.append(ids)
+        order = np.concatenate(groups) if groups else one
+        start = np.empty_like(length)
+        start[order] = len(self.ids) + np.cumsum(length[order]) - length[order]
+        self.start, self.length = np.concatenate((self.start, start)), np.concatenate((self.length, length))
+        self.ids = np.concatenate((self.ids, *found))
+
     def texts(self, column: pa.Array):
         """The ids of every text, in order."""
         for _, data, offsets in words.pieces(column):
             if self.memo.full:
                 self.clear()
-            starts, ends, upto = parts(data, offsets)
+            starts, ends, upto, plain = parts(data, offsets)
             number, new = self.memo.see(self.hasher.ranges(data, starts, ends))
-            raw = data.tobytes()
-            spelled = [raw[a:b].decode("utf-8") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            # a few at a time: what the tokenizer returns is large
-            found = [np.array(e.ids, dtype=np.uint32) for k in range(0, len(spelled), 2048)
-                     for e in self.tokenizer.encode_batch_fast(spelled[k: k + 2048], add_special_tokens=False)]
-            length = np.array([len(x) for x in found], dtype=np.int64)
-            flat = np.concatenate(found) if found else self.ids[:0]
-            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(length) - length))
-            self.length = np.concatenate((self.length, length))
-            self.ids = np.concatenate((self.ids, flat))
+            self._learn(data.tobytes(), starts[new], ends[new], plain[new])
             many = self.length[number]
             ids = self.ids[words.gather(self.start[number], many)]
             at = np.concatenate(([0], np.cumsum(many)))[upto]
