@@ -17,9 +17,12 @@ BANDS_PER_E_FOLD = 64
 
 
 def band_of(value: Column) -> Column:
-    """Non-decreasing integer of a number: about 1.6 % of the value wide."""
-    size = F.floor(F.log1p(F.abs(value)) * BANDS_PER_E_FOLD)
-    return F.when(value < 0, -size - 1).otherwise(size).cast("long")
+    """Non-decreasing integer of a number: about 1.6 % of the value wide at any magnitude, 0 for zero."""
+    value = value.cast("double")
+    # the logarithm of the smallest double is above -745, so sizes are positive
+    size = F.floor((F.ln(F.abs(value)) + 745) * BANDS_PER_E_FOLD)
+    band = F.when(value == 0, F.lit(0)).when(value < 0, -size).when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(size)
+    return band.cast("long")
 
 
 def _same(left: str, right: str, keys: Iterable[str]) -> Column:

@@ -1,6 +1,8 @@
 """Name attributes, similarity and comparable offers; complete results against brute force."""
 
 import itertools
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,25 @@ def test_critical_parameters_differ(spark, a, b, low):
     assert penalty(spark, a, a) == 1.0
 
 
+FAMILIES = [
+    ("Фланец 150-16-01", "Фланец 65-16-01", 0.30), ("Фланец 65-16", "Фланец 150-16", 0.30),
+    ("Фланец 1-150-16", "Фланец 2-150-16", 0.85), ("Фланец 1-800-0.3", "Фланец 1-800-1.6", 0.40), ("Фланец 1-150-16", "Фланец 1-155-16", 1.0),
+    ("Строп СТП 2,0", "Строп СТП 5,0", 0.45), ("Строп СТП 2,0/3000", "Строп СТП 2,0/6000", 0.65),
+    ("Строп СКП 2т", "Строп СТП 2т", 0.30), ("Строп цепной 2т", "Строп текстильный 2т", 0.30), ("Строп 2тн 6м", "Строп 2тн/6000", 1.0),
+    ("Лист 5 Ст3", "Лист 5 С345", 0.40), ("Лист рифленый 5х1500х6000", "Лист рифленый 6х1500х6000", 0.30), ("Лист 5 С345", "Лист 5 С355", 1.0),
+    ("Труба 108*4", "Труба 159*4", 0.30), ("Труба 108х4", "Труба 114", 0.30), ("Труба 159,4", "Труба 163", 1.0), ("Труба 159", "Труба 166", 0.30),
+    ("Труба 57х3 ст20", "Труба 57х4 ст20", 0.30), ("Труба ПВХ 110х3", "Труба ПВХ 110х6", 0.40), ("Труба ПВХ 110х3", "Труба ПВХ 110х4", 1.0),
+    ("Труба ПНД 63", "Труба ППР 63", 0.30), ("Труба ПНД 63 ХВС", "Труба ПНД 63 газ", 0.30)]
+
+
+def test_penalties_of_families(spark):
+    both = [(a, b, x) for a, b, x in FAMILIES] + [(b, a, x) for a, b, x in FAMILIES]
+    frame = spark.createDataFrame(both, "a string, b string, expected double")
+    frame = frame.select("*", critical_attributes("a").alias("x"), critical_attributes("b").alias("y"))
+    got = frame.select("a", "b", "expected", critical_penalty(F.col("x"), F.col("y")).alias("penalty")).collect()
+    assert [r for r in got if abs(r["penalty"] - r["expected"]) > 1e-9] == []
+
+
 def test_gate_words_are_whole(spark):
     assert penalty(spark, "Проволока стальная 2 м", "Проволока стальная 9 м") == 1.0
 
@@ -60,6 +81,25 @@ def test_text_scores(spark):
     assert one(spark, pairs.blocks_similarity(F.lit("abcd"), F.lit("bcde"))) == 0.75
 
 
+def test_text_scores_of_many_pairs(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("абвг ") for _ in range(rng.choice([0, 1, 3, 9, 40, 250]))) for _ in range(60)]
+    cases = [(a, b) for a in words[:20] for b in words[20:]] + [("", ""), (None, "а"), ("а", None)]
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string").select(
+        "i", pairs.blocks_similarity(F.col("a"), F.col("b")).alias("x"), pairs.jaro_similarity(F.col("a"), F.col("b")).alias("j")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        a, b = cases[r["i"]]
+        if a is None or b is None:
+            assert r["x"] is None and r["j"] is None
+        else:
+            assert r["x"] == pytest.approx(SequenceMatcher(None, a, b, autojunk=False).ratio())
+            assert 0 <= r["j"] <= 1 and (r["j"] == 1.0 or a != b)
+    hand = [("dixon", "dicksonx", 0.766667), ("dwayne", "duane", 0.822222), ("jellyfish", "smellyfish", 0.896296), ("crate", "trace", 0.733333)]
+    for a, b, expected in hand:
+        assert one(spark, pairs.jaro_similarity(F.lit(a), F.lit(b))) == pytest.approx(expected, abs=1e-5)
+
+
 def test_quick_score_of_two_spellings(spark):
     df = spark.createDataFrame([("Швеллер 14П ГОСТ 8240-97 С245", "Швеллер 14 С245 ГОСТ 8240-97"),
                                 ("Швеллер 14", "Труба 14")], "name1 string, name2 string")

@@ -36,6 +36,19 @@ def test_quantile_of_everything_and_of_nothing(spark, frame):
     assert exact_quantiles(df.where("id < 0"), ["key"], "value", {"m": 0.5}).count() == 0
 
 
+def test_small_values_spread_over_bands(spark):
+    rng = np.random.default_rng(1)
+    value = rng.random(2000) * 0.01 * rng.choice([1, -1], 2000)
+    df = spark.createDataFrame(pd.DataFrame({"value": value}))
+    assert df.groupBy(band_of(F.col("value")).alias("b")).count().agg(F.max("count")).first()[0] < 2000 * 0.02
+    ordered = [r["b"] for r in df.orderBy("value").select(band_of(F.col("value")).alias("b")).collect()]
+    assert ordered == sorted(ordered)
+    edges = [float("-inf"), -1e300, -1.0, -5e-324, 0.0, 5e-324, 1e-9, 1.0, 1e300, float("inf"), float("nan")]
+    bands = [r["b"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(edges)], "i int, v double").orderBy("i").select(band_of(F.col("v")).alias("b")).collect()]
+    assert bands == sorted(bands) and len(set(bands[1:9])) == 8
+    assert exact_quantiles(df, [], "value", {"m": 0.5}).first()["m"] == pytest.approx(np.median(value))
+
+
 def test_null_key_is_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None)], "key string, value double")
     assert [tuple(r) for r in exact_quantiles(df, ["key"], "value", {"m": 0.5}).collect()] == [(None, 2.0)]
