@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_AREAS = ["cleaning", "spend", "kpi", "reconciling", "pricing", "series", "suppliers", "names", "learning"]
+_AREAS = ["cleaning", "loading", "spend", "kpi", "reconciling", "pricing", "series", "suppliers", "names", "learning"]
 
 
 def load():

