@@ -22,7 +22,7 @@ def _features(spark, d):
 def _vectors(spark, d):
     table = checkpointed(_features(spark, d))
     columns = suppliers.clustering_columns(table)
-    return clusters.scaled(table, columns).persist(), columns
+    return checkpointed(clusters.scaled(table, columns)), columns
 
 
 @query("supplier_clusters", "K1 O5")

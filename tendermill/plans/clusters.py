@@ -6,12 +6,9 @@ from collections.abc import Iterable
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.clustering import KMeans as SeededKMeans
-from pyspark.mllib.clustering import KMeansModel
-from pyspark.mllib.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import PCA, MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendermill.operators import grouping
@@ -90,13 +87,14 @@ def best_scaler(df: DataFrame, columns: list[str], ks: Iterable[int] = range(2,
 
 def principal_components(vectors: DataFrame, size: int, variance: float = 0.95) -> tuple[DataFrame, list[float]]:
     """Project onto the fewest components that hold the wanted share of the variance."""
-    explained = PCA(k=size, inputCol="features", outputCol="_all").fit(vectors).explainedVariance.toArray().tolist()
+    model = PCA(k=size, inputCol="features", outputCol="_all").fit(vectors)
+    explained = model.explainedVariance.toArray().tolist()
     kept, reached = 0, 0.0
     while kept < len(explained) and reached < variance:
         reached += explained[kept]
         kept += 1
-    model = PCA(k=max(kept, 1), inputCol="features", outputCol="components").fit(vectors)
-    return model.transform(vectors), explained
+    first = array_to_vector(F.slice(vector_to_array("_all"), 1, max(kept, 1)))
+    return model.transform(vectors).withColumn("components", first).drop("_all"), explained
 
 
 def supplier_clusters(features: DataFrame, k: int | None = None, top_share: float = 0.99) -> DataFrame:
@@ -108,7 +106,7 @@ def supplier_clusters(features: DataFrame, k: int | None = None, top_share: floa
     columns = clustering_columns(table)
     giants = above_quantile(table, "total_volume", top_share, SUPPLIER)
     normal = table.join(giants.select(SUPPLIER), SUPPLIER, "left_anti")
-    vectors = scaled(normal, columns).persist()
+    vectors = checkpointed(scaled(normal, columns))
     if k is None:
         k = max(max(k_sweep(vectors, range(2, 9)), key=lambda r: r[2])[0], 6)
     clustered = _k_means(vectors, k).transform(vectors).drop("features").withColumn("is_giant", F.lit(False))
@@ -149,28 +147,41 @@ def bisecting_clusters(df: DataFrame, columns: list[str], k: int = 5) -> DataFra
     return model.transform(vectors).drop("features")
 
 
-def seeded_clusters(kpi: DataFrame, seeds: DataFrame) -> DataFrame:
+def _apart(x: Column, y: Column) -> Column:
+    """Squared distance of two arrays."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, d: total + d)
+
+
+def seeded_clusters(kpi: DataFrame, seeds: DataFrame, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """K-means started from the best row of each discipline; the seeds keep the clusters they founded.
 
-    There are as many seeds as disciplines, so they are listed on the driver.
+    Centres are a table of one row per discipline. Each round assigns the rows to the nearest centre and takes the means, until
+    no centre moves farther than ``tolerance``; a centre without rows stays where it is.
     """
     columns = ["total_lots", "avg_time_to_close", "avg_lot_value", "sum_lot_value"]
     keys = [c for c in ("project_name", "discipline", "actor_name") if c in kpi.columns]
+    point = F.array(*(F.col(c).cast("double") for c in columns))
     table = checkpointed(kpi.fillna(0.0, subset=columns))
-    founders = checkpointed(seeds.fillna(0.0, subset=columns).orderBy("discipline"))
-    centres = [Vectors.dense(*(float(x) for x in r)) for r in founders.select("discipline", *columns).orderBy("discipline")
-               .drop("discipline").collect()]
-    rest = table.join(founders.select(*keys), keys, "left_anti")
-    points = rest.select(*(F.col(c).cast("double") for c in columns)).rdd.map(lambda r: Vectors.dense(list(r)))
-    model = SeededKMeans.train(points, k=len(centres), maxIterations=100, initialModel=KMeansModel(centres))
-    gaps = F.array(*(F.struct(
-        sum(((F.col(c) - float(x)) ** 2 for c, x in zip(columns, centre)), F.lit(0.0)).alias("d"), F.lit(i).alias("i"))
-        for i, centre in enumerate(model.clusterCenters)))
-    labelled = rest.withColumn("cluster", F.array_min(gaps)["i"])
-    place = F.create_map(*(F.lit(x) for i, r in enumerate(founders.select("discipline").orderBy("discipline").collect())
-                           for x in (r[0], i)))
-    own = founders.withColumn("cluster", place[F.col("discipline")])
-    return labelled.unionByName(own.select(*labelled.columns))
+    founders = grouping.ranked_rows(seeds.fillna(0.0, subset=columns), "discipline").withColumn("cluster", (F.col("rank") - 1).cast("int"))
+    founders = checkpointed(founders.drop("rank"))
+    rest = checkpointed(table.join(founders.select(*keys), keys, "left_anti"))
+    centres = founders.select("cluster", point.alias("centre"))
+
+    def assigned(centres: DataFrame) -> DataFrame:
+        # one entry per discipline
+        every = centres.agg(F.collect_list(F.struct("cluster", "centre")).alias("list"))
+        nearest = F.array_min(F.transform("_centres.list", lambda c: F.struct(_apart(c["centre"], point).alias("d"), c["cluster"].alias("i"))))
+        return grouping.with_row(rest, every, "_centres").withColumn("cluster", nearest["i"]).drop("_centres")
+
+    for _ in range(rounds):
+        means = assigned(centres).groupBy("cluster").agg(F.array(*(F.avg(F.col(c).cast("double")) for c in columns)).alias("mean"))
+        moved = checkpointed(centres.join(means, "cluster", "left").select(
+            "cluster", F.coalesce("mean", "centre").alias("centre"), _apart(F.col("centre"), F.coalesce("mean", "centre")).alias("step")))
+        centres, step = moved.select("cluster", "centre"), moved.agg(F.max("step")).first()[0]
+        if step is None or step <= tolerance ** 2:
+            break
+    labelled = assigned(centres)
+    return labelled.unionByName(founders.select(*labelled.columns))
 
 
 def efficiency_groups(clusters: DataFrame) -> DataFrame:
@@ -204,23 +215,50 @@ def actors_per_group(clusters: DataFrame, groups: DataFrame) -> DataFrame:
     return grouping.pivoted(pairs, ["cluster"], "label", EFFICIENCY, F.sum("actors"), fill=0)
 
 
-def actor_clusters(lots: DataFrame, k: int = 4) -> DataFrame:
+def actor_clusters(lots: DataFrame, k: int = 4, rounds: int = 30) -> DataFrame:
     """People per discipline clustered by money, lots, suppliers and which suppliers they use.
 
-    The 0/1 part is one sparse vector per person over all distinct suppliers; the
-    vocabulary takes every supplier, none is cut.
+    Features are rows (person, feature, value), each divided by its deviation: three sums, and a flag for every supplier used.
+    K-means starts from the clusters by the three sums; each round takes the centres as rows (cluster, feature, mean) and
+    assigns people by |c|^2 - 2 x c, a join and a sum. No supplier is cut and no list of suppliers is gathered.
     """
     keys = ["discipline", "actor_name"]
-    per_pair = lots.groupBy(*keys, "winner_name").agg(F.count("*").alias("n"), F.sum("total_price_eur").alias("eur"))
-    people = checkpointed(per_pair.groupBy(*keys).agg(
-        F.sum("eur").alias("total_eur"), F.sum("n").alias("total_lots"), F.count("*").alias("suppliers_count"),
-        F.sort_array(F.collect_list("winner_name")).alias("suppliers")))
-    flags = CountVectorizer(inputCol="suppliers", outputCol="has", binary=True, minDF=1.0, vocabSize=1 << 30).fit(people)
-    wide = VectorAssembler(inputCols=["total_eur", "total_lots", "suppliers_count", "has"], outputCol="raw").transform(
-        flags.transform(people))
-    # scaling without centring keeps the flags sparse and leaves the distances as they are
-    vectors = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True).fit(wide).transform(wide)
-    return _k_means(vectors, k).transform(vectors).select(*keys, "total_eur", "total_lots", "suppliers_count", "cluster")
+    sums = ["total_eur", "total_lots", "suppliers_count"]
+    per_pair = checkpointed(lots.groupBy(*keys, "winner_name").agg(F.count("*").alias("n"), F.sum("total_price_eur").alias("eur")))
+    people = per_pair.groupBy(*keys).agg(F.sum("eur").alias("total_eur"), F.sum("n").alias("total_lots"), F.count("*").alias("suppliers_count"))
+    people = checkpointed(people.withColumn("person", F.monotonically_increasing_id()))
+    same = [people[c].eqNullSafe(per_pair[c]) for c in keys]
+    flags = per_pair.where(F.col("winner_name").isNotNull()).join(people, same).select(
+        "person", F.concat(F.lit("uses "), "winner_name").alias("feature"), F.lit(1.0).alias("x"))
+    raw = people.select("person", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in sums)))
+                        .alias("f")).select("person", "f.*").unionByName(flags)
+    # a flag is 0 for everyone without a row
+    everyone = people.count()
+    n, total, squares = F.lit(float(everyone)), F.sum("x"), F.sum(F.col("x") * F.col("x"))
+    deviation = F.sqrt(F.greatest(F.try_divide(squares - total * total / n, n - 1), F.lit(0.0)))
+    scale = raw.groupBy("feature").agg(deviation.alias("deviation"))
+    cells = checkpointed(raw.join(scale, "feature").select(
+        "person", "feature", F.coalesce(F.try_divide("x", "deviation"), F.lit(0.0)).alias("x")))
+
+    if everyone <= k:
+        return people.select(*keys, *sums, F.lit(0).alias("cluster"))
+    start = scaled(people, sums)
+    place = checkpointed(_k_means(start, k).transform(start).select("person", "cluster"))
+    for _ in range(rounds):
+        size = place.groupBy("cluster").agg(F.count("*").alias("size"))
+        centre = cells.join(place, "person").groupBy("cluster", "feature").agg(F.sum("x").alias("total")).join(size, "cluster")
+        centre = checkpointed(centre.select("cluster", "feature", (F.col("total") / F.col("size")).alias("mean")))
+        norm = centre.groupBy("cluster").agg(F.sum(F.col("mean") * F.col("mean")).alias("norm"))
+        product = cells.join(centre, "feature").groupBy("person", "cluster").agg(F.sum(F.col("x") * F.col("mean")).alias("product"))
+        # rounded, so that the order of a sum cannot move a person between equally near centres
+        gap = F.round(F.col("norm") - 2 * F.col("product"), 9)
+        nearest = product.join(norm, "cluster").groupBy("person").agg(F.min_by("cluster", F.struct(gap, "cluster")).alias("cluster"))
+        nearest = checkpointed(nearest)
+        settled = nearest.join(place, ["person", "cluster"], "left_anti").isEmpty()
+        place = nearest
+        if settled:
+            break
+    return people.join(place, "person").select(*keys, *sums, "cluster")
 
 
 def actor_cluster_stats(clusters: DataFrame) -> DataFrame:

@@ -91,6 +91,24 @@ def test_seeds_found_their_clusters(spark):
     assert len(got) == 40 and got.groupby("discipline")["cluster"].nunique().tolist() == [1, 1]
 
 
+def test_actors_lie_nearest_to_their_own_centre(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"d{g}", f"p{g}-{i}", f"s{g}-{rng.integers(6)}", float(rng.normal(100 * g + 50, 3))) for g in range(4) for i in range(12) for _ in range(9)]
+    lots = spark.createDataFrame(rows, "discipline string, actor_name string, winner_name string, total_price_eur double")
+    got = clusters.actor_clusters(lots).toPandas()
+    frame = pd.DataFrame(rows, columns=lots.columns)
+    uses = (frame.pivot_table(index="actor_name", columns="winner_name", values="total_price_eur", aggfunc="size") > 0).astype(float)
+    sums = got.set_index("actor_name").loc[uses.index]
+    wide = np.c_[sums[["total_eur", "total_lots", "suppliers_count"]].to_numpy(float), uses.to_numpy()]
+    deviation = wide.std(axis=0, ddof=1)
+    wide = wide[:, deviation > 0] / deviation[deviation > 0]
+    label = sums["cluster"].to_numpy()
+    centres = {c: wide[label == c].mean(axis=0) for c in set(label)}
+    gaps = {c: ((wide - x) ** 2).sum(axis=1) for c, x in centres.items()}
+    own = np.array([gaps[c][i] for i, c in enumerate(label)])
+    assert len(got) == 48 and (own <= np.min(list(gaps.values()), axis=0) + 1e-6).all()
+
+
 # model fits and reports over the same matches take minutes: all of them only when asked for
 QUICK = {"shape_attributes", "name_dimensions", "name_features", "quick_name_scores", "comparable_offers",
          "cluster_profile", "actor_clusters", "efficiency_groups"}
