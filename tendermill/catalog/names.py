@@ -9,6 +9,7 @@ from tendermill.catalog.registry import query, with_views
 from tendermill.functions import attributes, text
 from tendermill.operators import grouping
 from tendermill.plans import comparables, metal
+from tendermill.session import checkpointed
 from tendermill.sources import views
 
 
@@ -163,6 +164,10 @@ def _matches(spark, d):
     return comparables.comparable_offers(contracts_eur(spark, d, "metal_product", "counterparty_name"), name="metal_product")
 
 
+def _statistics(spark, d):
+    return comparables.match_statistics(contracts_eur(spark, d, "metal_product", "counterparty_name"), name="metal_product")
+
+
 @query("comparable_offers", "M8 J7")
 def comparable_offers(spark, d):
     return _matches(spark, d)
@@ -170,22 +175,22 @@ def comparable_offers(spark, d):
 
 @query("critical_price_gaps", "M10")
 def critical_price_gaps(spark, d):
-    return comparables.critical_gaps(_matches(spark, d))
+    return comparables.critical_gaps(_statistics(spark, d))
 
 
 @query("matches_by_category", "A55")
 def matches_by_category(spark, d):
-    return comparables.category_report(_matches(spark, d))
+    return comparables.category_report(checkpointed(_statistics(spark, d)), _matches(spark, d))
 
 
 @query("match_supplier_ratings", "A55")
 def match_supplier_ratings(spark, d):
-    return comparables.supplier_ratings(_matches(spark, d))
+    return comparables.supplier_ratings(checkpointed(_statistics(spark, d)))
 
 
 @query("match_gap_buckets", "A55")
 def match_gap_buckets(spark, d):
-    return comparables.gap_buckets(_matches(spark, d))
+    return comparables.gap_buckets(_statistics(spark, d))
 
 
 @query("largest_match_gaps", "A55 T2")

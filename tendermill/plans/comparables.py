@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendermill.functions import attributes, pairs, text
 from tendermill.functions.penalties import critical_attributes, critical_penalty
 from tendermill.operators import grouping
-from tendermill.operators.describing import column_summary
 from tendermill.session import checkpointed
 
 # Weights of the feature similarity.
@@ -191,16 +190,21 @@ def _extremes(per_offer: DataFrame) -> DataFrame:
                                           F.col("price").alias("price2"), "side")
 
 
+def related_names(contracts: DataFrame, threshold: float, name: str) -> DataFrame:
+    """(category, type, name1, name2, similarity) in both directions, each name with itself included."""
+    features = named_features(contracts, name)
+    similar = similar_names(features, threshold)
+    swapped = similar.select("category", "type", F.col("name2").alias("name1"), F.col("name1").alias("name2"), "similarity")
+    return similar.unionByName(swapped).unionByName(own_similarity(features))
+
+
 def comparable_offers(contracts: DataFrame, threshold: float = 0.85, name: str = "product_name") -> DataFrame:
     """Every offer against the cheapest and the dearest comparable offer of another supplier.
 
     Two rows per offer, not one per pair: the work is linear in offers times similar
-    names, and the largest gaps are all there.
+    names, and the largest gaps are all there. Counts and means over all matches: :func:`match_statistics`.
     """
-    features = named_features(contracts, name)
-    similar = similar_names(features, threshold)
-    swapped = similar.select("category", "type", F.col("name2").alias("name1"), F.col("name1").alias("name2"), "similarity")
-    related = similar.unionByName(swapped).unionByName(own_similarity(features))
+    related = related_names(contracts, threshold, name)
     per_offer = offers(contracts, name)
     sides = related.join(_extremes(per_offer), "name2")
     mine = per_offer.select(F.col("name").alias("name1"), F.col("supplier").alias("supplier1"), F.col("price").alias("price1"))
@@ -236,33 +240,87 @@ def comparable_pairs(contracts: DataFrame, threshold: float = 0.85, name: str =
                             .otherwise(0.0)})
 
 
-def critical_gaps(matches: DataFrame, least: float = 30.0) -> DataFrame:
-    return matches.where(F.col("price_diff_pct") > least)
+# Where a gap changes its bucket, as a share of the own price; below it prices count up to but without the edge, above it with it.
+_BELOW = {"under30": 0.7, "under20": 0.8, "under10": 0.9, "under": 1.0}
+_ABOVE = {"upto": 1.0, "upto10": 1.1, "upto20": 1.2, "upto30": 1.3}
 
 
-# ---------------------------------------------------------------- report over matches
+def match_statistics(contracts: DataFrame, threshold: float = 0.85, name: str = "product_name") -> DataFrame:
+    """Every offer against all comparable offers of other suppliers, one row per offer and comparable name.
 
+    ``matches``; ``within10``, ``within20`` and ``within30`` of them with a gap of at most so many % of the own price; how many are
+    ``dearer`` and ``cheaper`` and by how much in sum (``more``, ``less``). No pair of offers is listed: prices of both names are
+    sorted together once, and running counts and sums at the edges of the buckets give the figures. Offers of the own supplier
+    are met by a join and taken off. A pair counts once from either side.
+    """
+    related = checkpointed(related_names(contracts, threshold, name).select("category", "type", "name1", "name2"))
+    per_offer = checkpointed(offers(contracts, name).where(F.col("price") > 0))
+    mine, theirs = (per_offer.select(F.col("name").alias(f"name{i}"), F.col("supplier").alias(f"supplier{i}"), F.col("price").alias(f"price{i}"))
+                    for i in (1, 2))
+    edges = F.array(*(F.struct(F.lit(e).alias("edge"), F.lit(share).alias("share"), F.lit(place).alias("place"))
+                      for place, group in ((0, _BELOW), (2, _ABOVE)) for e, share in group.items()))
+    probes = related.join(mine, "name1").withColumn("e", F.explode(edges)).select(
+        "name1", "name2", "supplier1", "price1", "e.edge", (F.col("price1") * F.col("e.share")).alias("at"), F.col("e.place").alias("place"),
+        F.lit(0).alias("one"), F.lit(0.0).alias("price2"))
+    nothing = {"supplier1": "string", "price1": "double", "edge": "string"}
+    prices = related.join(theirs, "name2").select(
+        "name1", "name2", F.col("price2").alias("at"), F.lit(1).alias("place"), F.lit(1).alias("one"), "price2",
+        *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    before = Window.partitionBy("name1", "name2").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = probes.unionByName(prices).withColumns({"n": F.sum("one").over(before), "sum": F.sum("price2").over(before)}).where("edge IS NOT NULL")
+    at_edges = placed.groupBy("name1", "name2", "supplier1", "price1").agg(
+        *(F.max(F.when(F.col("edge") == e, F.col("n"))).alias(e) for e in {**_BELOW, **_ABOVE}),
+        *(F.max(F.when(F.col("edge") == e, F.col("sum"))).alias(f"{e}_sum") for e in ("under", "upto")))
+    whole = per_offer.groupBy(F.col("name").alias("name2")).agg(F.count("*").alias("all"), F.sum("price").alias("all_sum"))
+    p, q = F.col("price1"), F.col("price2")
+    own = related.join(mine, "name1").join(theirs, "name2").where("supplier1 = supplier2").groupBy("name1", "name2", "supplier1").agg(
+        F.count("*").alias("own"), F.count_if(q > p).alias("own_dearer"), F.count_if(q < p).alias("own_cheaper"),
+        F.sum(F.greatest(q - p, F.lit(0.0))).alias("own_more"), F.sum(F.greatest(p - q, F.lit(0.0))).alias("own_less"),
+        *(F.count_if((q >= p * _BELOW[f"under{w}"]) & (q <= p * _ABOVE[f"upto{w}"])).alias(f"own{w}") for w in (10, 20, 30)))
+    met = at_edges.join(whole, "name2").join(own, ["name1", "name2", "supplier1"], "left").fillna(0)
+    return met.join(related, ["name1", "name2"]).select(
+        "category", "type", "name1", "supplier1", "price1", "name2", (F.col("all") - F.col("own")).alias("matches"),
+        *((F.col(f"upto{w}") - F.col(f"under{w}") - F.col(f"own{w}")).alias(f"within{w}") for w in (10, 20, 30)),
+        (F.col("all") - F.col("upto") - F.col("own_dearer")).alias("dearer"), (F.col("under") - F.col("own_cheaper")).alias("cheaper"),
+        (F.col("all_sum") - F.col("upto_sum") - (F.col("all") - F.col("upto")) * p - F.col("own_more")).alias("more"),
+        (F.col("under") * p - F.col("under_sum") - F.col("own_less")).alias("less")).where("matches > 0")
+
+
+def critical_gaps(statistics: DataFrame) -> DataFrame:
+    """Gaps of more than 30 % for each pair of comparable names."""
+    return statistics.groupBy("category", "type", "name1", "name2").agg(
+        F.sum("matches").alias("matches"), F.sum(F.col("matches") - F.col("within30")).alias("critical")).where("critical > 0")
 
-def category_report(matches: DataFrame) -> DataFrame:
-    stats = column_summary(matches, "price_diff_pct", ["category"]).select(
-        "category", F.col("n").alias("matches"), F.col("mean").alias("mean_gap"), F.col("q50").alias("median_gap"),
-        F.col("most").alias("max_gap"))
-    money = matches.groupBy("category").agg(F.sum("price_diff").alias("value"), F.avg("price_diff").alias("mean_value"))
-    return stats.join(money, "category")
 
+# ---------------------------------------------------------------- report over matches
 
-def supplier_ratings(matches: DataFrame) -> DataFrame:
-    """How often each supplier is the cheaper and the dearer side, with the mean gap."""
-    sides = [matches.groupBy(F.col(f"{s}_supplier").alias("supplier")).agg(
-        F.count("*").alias("matches"), F.avg("price_diff_pct").alias("mean_gap")).withColumn("side", F.lit(s))
-        for s in ("cheaper", "expensive")]
+def category_report(statistics: DataFrame, extremes: DataFrame) -> DataFrame:
+    """Matches, mean gap, the bucket that holds the median gap, and money; the largest gap comes from the extremes of each offer."""
+    gap = F.col("more") + F.col("less")
+    found = statistics.groupBy("category").agg(
+        *(F.sum(c).alias(c) for c in ("matches", "within10", "within20", "within30")),
+        (F.sum(gap / F.col("price1")) * 100).alias("gap"), F.sum(gap).alias("value"))
+    half = F.col("matches") / 2
+    median = F.when(F.col("within10") >= half, "0-10").when(F.col("within20") >= half, "10-20").when(F.col("within30") >= half, "20-30").otherwise(">30")
+    most = extremes.groupBy("category").agg(F.max("price_diff_pct").alias("max_gap"))
+    return found.select("category", "matches", (F.col("gap") / F.col("matches")).alias("mean_gap"), median.alias("median_gap"), "value",
+                        (F.col("value") / F.col("matches")).alias("mean_value")).join(most, "category")
+
+
+def supplier_ratings(statistics: DataFrame) -> DataFrame:
+    """How often each supplier is the cheaper and the dearer side, with the mean gap in % of its own price."""
+    sides = []
+    for side, n, gap in (("cheaper", "dearer", "more"), ("expensive", "cheaper", "less")):
+        total = statistics.groupBy(F.col("supplier1").alias("supplier")).agg(
+            F.sum(n).alias("matches"), (F.sum(F.col(gap) / F.col("price1")) * 100).alias("gap"))
+        sides.append(total.where("matches > 0").select("supplier", "matches", (F.col("gap") / F.col("matches")).alias("mean_gap"), F.lit(side).alias("side")))
     return grouping.stacked(*sides)
 
 
-def gap_buckets(matches: DataFrame) -> DataFrame:
-    p = F.col("price_diff_pct")
-    bucket = F.when(p <= 10, "0-10").when(p <= 20, "10-20").when(p <= 30, "20-30").otherwise(">30")
-    return matches.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("matches"), F.sum("price_diff").alias("value"))
+def gap_buckets(statistics: DataFrame) -> DataFrame:
+    counts = [F.col("within10"), F.col("within20") - F.col("within10"), F.col("within30") - F.col("within20"), F.col("matches") - F.col("within30")]
+    rows = F.array(*(F.struct(F.lit(b).alias("bucket"), n.alias("n")) for b, n in zip(("0-10", "10-20", "20-30", ">30"), counts)))
+    return statistics.select(F.explode(rows).alias("r")).groupBy("r.bucket").agg(F.sum("r.n").alias("matches"))
 
 
 def largest_gaps(matches: DataFrame, k: int = 20) -> DataFrame:
