@@ -136,11 +136,11 @@ def feature_ranking(spark, d):
 @query("model_comparison", "K12")
 def model_comparison(spark, d):
     data, _ = _prepared(spark, d)
-    rows, _ = regression.compared_models(data, trees=200, rounds=20)
+    rows, _ = regression.compared_models(data)
     return regression.comparison_table(data.train, rows)
 
 
 @query("next_week_prediction", "K13")
 def next_week_prediction(spark, d):
     contracts = contracts_eur(spark, d, "contract_signing_date", "contract_number", "counterparty_name", "project_name")
-    return regression.next_week_by_project(contracts, trees=50, rounds=10)
+    return regression.next_week_by_project(contracts)
