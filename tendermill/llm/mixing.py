@@ -12,8 +12,8 @@ sources are taken with their own probabilities.
 u comes from the doc_id, so reruns agree. Ranks within a source are cut into bins of u: running sums need the bins'
 totals and the rows of one bin only, however large a source is.
 
-Defined results: null or blank text has size 0 and is never taken; a null doc_id is a document like others; repeated
-rows are separate documents; an empty table gives an empty result.
+Defined results: null or blank text has size 0 and is never taken; a null doc_id is a document like others, with a u
+from its text; repeated rows are separate documents, each with its own number of copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendermill.llm import words
-from tendermill.llm.store import stored
+from tendermill.llm.store import numbered, stored
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a bin of a source, on average at most.
@@ -32,16 +32,17 @@ BIN = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of every text."""
+    """(doc_id, source, size, row, print): words of every text, the last two as they come."""
 
     def run(batches):
         for batch in batches:
             n = [np.zeros(0, dtype=np.int64)]
             for _, data, at in words.pieces(batch.column(2)):
                 n.append(np.diff(words.spans(data, at)[2]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n))], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n)), *batch.columns[3:]],
+                                             names=["doc_id", "source", "size", "row", "print"])
 
-    return docs.mapInArrow(run, "doc_id long, source string, size long")
+    return docs.mapInArrow(run, "doc_id long, source string, size long, row long, print long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
@@ -61,23 +62,32 @@ def targets(sized: DataFrame, weights: tuple[int, ...], percent: int, most: int)
     return sources.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("water")).alias("target"))
 
 
-def uniform(doc_id, seed: int):
-    """A number in (0, 1) from the doc_id alone."""
-    digits = F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
+def uniform(doc_id, seed: int, print):
+    """A number in (0, 1) from the doc_id alone, or where that is null from ``print``."""
+    named = F.coalesce(doc_id.cast("string"), F.concat_ws("-", F.lit("null"), print.cast("string")))
+    digits = F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), named)), 1, 13)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
 def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
                percent: int = 150, most: int = 2, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row; ``taken`` counts words, repeats included."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    return _taken(docs, F.lit(None), doc_id, text, source, weights, percent, most, seed).drop("row")
+
+
+def _taken(docs: DataFrame, row, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
+           percent: int = 150, most: int = 2, seed: int = 17) -> DataFrame:
+    """:func:`pareto_mix` with ``row``, which tells rows apart."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"),
+                       row.cast("long").alias("row"))
+    docs = docs.withColumn("print", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     sized = stored(sizes(docs))
     bins = 1 + sized.count() // BIN
     share = targets(sized, weights, percent, most)
     rows = sized.alias("d").join(share.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("copies", copies).withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
-    rows = rows.withColumn("u", uniform(F.col("doc_id"), seed)).withColumn("bin", F.floor(F.col("u") * F.lit(bins)).cast("int"))
+    rows = rows.withColumn("u", uniform(F.col("doc_id"), seed, F.col("print"))).withColumn("bin", F.floor(F.col("u") * F.lit(bins)).cast("int"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rows = rows.withColumn("rank", F.when(F.col("p") > 0, odds))
     per_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
@@ -85,17 +95,18 @@ def pareto_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     per_bin = per_bin.withColumn("before", F.coalesce(F.sum("in_bin").over(before), F.lit(0)))
     here = (F.col("d.bin") == F.col("b.bin")) & F.col("d.source").eqNullSafe(F.col("b.source"))
     rows = rows.alias("d").join(per_bin.alias("b"), here).select("d.*", "b.before")
-    order = Window.partitionBy("source", "bin").orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "bin").orderBy("rank", "u", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("size").over(order)
     wanted = F.col("target") - F.col("whole") * F.col("source_size")
     extra = (F.col("p") > 0) & (upto - F.col("size") / 2 <= wanted)
     taken = F.col("whole") * F.col("size") + F.when(extra, F.col("size")).otherwise(F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "copies")
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "copies", "row")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """``docs`` as the mix takes them: each document as often as it is taken. Documents sharing a doc_id count as one."""
-    rows = pareto_mix(docs, doc_id, text, source, **how)
-    times = rows.where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    out = docs.alias("d").join(times.alias("t"), F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("t.doc_id"))).select("d.*", "t._times")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_copy", "_times")
+    """``docs`` as the mix takes them: each row as often as it is taken, also where rows share a doc_id or have none."""
+    rows = numbered(docs)
+    taken = _taken(rows, F.col("_row"), doc_id, text, source, **how).where("taken > 0")
+    times = taken.select(F.col("row").alias("_row"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    out = rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*docs.columns)

@@ -35,6 +35,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written once with ``_row``, a number for each row that stays the same from then on."""
+    return stored(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def small_side(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``keys``, marked for broadcast if it has at most ``rows`` rows; beyond that the join shuffles both sides."""
     return F.broadcast(keys) if keys.count() <= rows else keys

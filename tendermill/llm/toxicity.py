@@ -25,6 +25,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tendermill.llm import words
 from tendermill.llm.store import checkpointed, small_side
@@ -139,7 +140,8 @@ class Ratio:
 
 
 def described(docs: DataFrame, shared) -> DataFrame:
-    """Each row of (doc_id, text) with its features."""
+    """The features of each row of (doc_id, text), and its further columns."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):
         ratio, hasher, memo = shared.value, words.Hasher(), words.Memo()
@@ -165,10 +167,11 @@ def described(docs: DataFrame, shared) -> DataFrame:
                     out[full, 2] = np.maximum.reduceat(v / n, at)
                 rows.append(out)
             rows = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(FEATURES))],
-                                             names=["doc_id", *(f"f{k}" for k in range(FEATURES))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(rows[:, k]) for k in range(FEATURES))],
+                                             names=[*names, *(f"f{k}" for k in range(FEATURES))])
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
+    names = [f.name for f in kept]
+    return docs.mapInArrow(run, StructType([*kept, *(StructField(f"f{k}", DoubleType()) for k in range(FEATURES))]))
 
 
 def fold(doc_id, folds: int):
@@ -176,10 +179,15 @@ def fold(doc_id, folds: int):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, known, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE,
-             least: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) for every row. ``known`` tells from a doc_id column whether its label may be learned."""
+             least: float = 0.3, whole: bool = False) -> DataFrame:
+    """(doc_id, score, predicted) for every row; with ``whole`` also ``row``, all its columns.
+
+    ``known`` tells from a doc_id column whether its label may be learned.
+    """
     context = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
+    kept = ["doc_id", *docs.columns[2:]]
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & known(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
@@ -192,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, known, doc_id: str = "doc_id",
     if len(rows) < 4 or not len(table):
         toxic = sum(n for (_, t), n in rows.items() if t)
         constant = toxic / max(1, sum(rows.values()))
-        return docs.select("doc_id", F.lit(constant).alias("score"), F.lit(int(constant >= least)).alias("predicted"))
+        return docs.select(*kept, F.lit(constant).alias("score"), F.lit(int(constant >= least)).alias("predicted"))
     ratio = context.broadcast(Ratio(table.gram.to_numpy(np.int64).view(np.uint64), table.toxic.to_numpy(), table.ordinary.to_numpy()))
     vector = array_to_vector(F.array(*(f"f{k}" for k in range(FEATURES)))).alias("features")
     fitted = described(labelled.where("half = 1").select("doc_id", "text"), ratio).join(labels, "doc_id")
@@ -201,5 +209,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, known, doc_id: str = "doc_id",
     z = F.lit(float(model.intercept))
     for k, weight in enumerate(model.coefficients):
         z = z + F.lit(float(weight)) * F.col(f"f{k}")
-    scored = described(docs, ratio).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    scored = described(docs, ratio).select(*kept, (1 / (1 + F.exp(-z))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))

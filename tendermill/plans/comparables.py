@@ -254,7 +254,7 @@ def match_statistics(contracts: DataFrame, threshold: float = 0.85, name: str =
     are met by a join and taken off. A pair counts once from either side.
     """
     related = checkpointed(related_names(contracts, threshold, name).select("category", "type", "name1", "name2"))
-    per_offer = checkpointed(offers(contracts, name).where(F.col("price") > 0))
+    per_offer = checkpointed(offers(contracts, name).where(F.col("price").isNotNull()))
     mine, theirs = (per_offer.select(F.col("name").alias(f"name{i}"), F.col("supplier").alias(f"supplier{i}"), F.col("price").alias(f"price{i}"))
                     for i in (1, 2))
     edges = F.array(*(F.struct(F.lit(e).alias("edge"), F.lit(share).alias("share"), F.lit(place).alias("place"))
