@@ -49,3 +49,11 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA)
     got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()), key=str)
     assert got == sorted([(1, a), (5, b), (6, c), (None, c)], key=str)
+
+
+def test_an_id_with_two_texts_keeps_its_links(spark):
+    a, b = prose(4, 60), prose(5, 60).split(" ")
+    near = [*b[:-1], "zz"]
+    rows = [(1, a), (2, a), (2, " ".join(b)), (3, " ".join(near))]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in jaccard.ngram_jaccard(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
