@@ -9,6 +9,7 @@ Only the last sequence is short. It is padded to ``length`` when it is used, unl
 
 White space after something else always starts a new token of a byte-level BPE, so a text falls into parts of white
 space and what follows it. Each task encodes a part once and looks it up afterwards; ids equal those of whole texts.
+The tokenizer is used as loaded: a text that holds ``<|endoftext|>`` gets its one id there.
 
 Defined results: an empty text is the end id alone; rows that repeat a doc_id are documents of their own; a null
 doc_id stays null; an empty table gives no pieces; other columns are not read.
@@ -60,7 +61,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            if token.lstrip or token.rstrip or any(x.isspace() for x in token.content):
+                raise ValueError("added tokens must not take white space")
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():

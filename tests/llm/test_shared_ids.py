@@ -1,11 +1,11 @@
-"""Rows that share a doc_id or have none."""
+"""Rows that share a doc_id or have none, and texts that hold the tokenizer's own token."""
 
 import collections
 
 import numpy as np
 
 import corpus_pipeline
-from tendermill.llm import jaccard, mixing
+from tendermill.llm import jaccard, mixing, packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +57,16 @@ def test_an_id_with_two_texts_keeps_its_links(spark):
     rows = [(1, a), (2, a), (2, " ".join(b)), (3, " ".join(near))]
     docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA)
     assert {(r.doc_id, r.component_id) for r in jaccard.ngram_jaccard(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_the_tokenizer_is_used_as_loaded():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"a{mark}b {mark}\n {mark}{mark}  c", f"{mark}  {mark}é\t", "<|endof text|>", f" x {mark}　{mark} 漢{mark}"]
+    texts += [prose(k, 20).replace(" c", f" {mark}").replace("a ", mark + " \n") for k in range(40)]
+    for text, ids in zip(texts, packing.Encoder(path).texts(pa.array(texts, pa.string()))):
+        assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
