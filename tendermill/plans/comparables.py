@@ -251,7 +251,8 @@ def match_statistics(contracts: DataFrame, threshold: float = 0.85, name: str =
     ``matches``; ``within10``, ``within20`` and ``within30`` of them with a gap of at most so many % of the own price; how many are
     ``dearer`` and ``cheaper`` and by how much in sum (``more``, ``less``). No pair of offers is listed: prices of both names are
     sorted together once, and running counts and sums at the edges of the buckets give the figures. Offers of the own supplier
-    are met by a join and taken off. A pair counts once from either side.
+    are met by a join and taken off. A pair counts once from either side. From an own price of 0 or less every gap counts as 0 %, as in
+    :func:`comparable_offers`; offers without a price have no gap.
     """
     related = checkpointed(related_names(contracts, threshold, name).select("category", "type", "name1", "name2"))
     per_offer = checkpointed(offers(contracts, name).where(F.col("price").isNotNull()))
@@ -280,7 +281,8 @@ def match_statistics(contracts: DataFrame, threshold: float = 0.85, name: str =
     met = at_edges.join(whole, "name2").join(own, ["name1", "name2", "supplier1"], "left").fillna(0)
     return met.join(related, ["name1", "name2"]).select(
         "category", "type", "name1", "supplier1", "price1", "name2", (F.col("all") - F.col("own")).alias("matches"),
-        *((F.col(f"upto{w}") - F.col(f"under{w}") - F.col(f"own{w}")).alias(f"within{w}") for w in (10, 20, 30)),
+        *(F.when(p > 0, F.col(f"upto{w}") - F.col(f"under{w}") - F.col(f"own{w}")).otherwise(F.col("all") - F.col("own")).alias(f"within{w}")
+          for w in (10, 20, 30)),
         (F.col("all") - F.col("upto") - F.col("own_dearer")).alias("dearer"), (F.col("under") - F.col("own_cheaper")).alias("cheaper"),
         (F.col("all_sum") - F.col("upto_sum") - (F.col("all") - F.col("upto")) * p - F.col("own_more")).alias("more"),
         (F.col("under") * p - F.col("under_sum") - F.col("own_less")).alias("less")).where("matches > 0")
@@ -294,12 +296,17 @@ def critical_gaps(statistics: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- report over matches
 
+def _share(gap):
+    """Of the own price; 0 where that is 0 or less."""
+    return F.when(F.col("price1") > 0, gap / F.col("price1")).otherwise(0.0)
+
+
 def category_report(statistics: DataFrame, extremes: DataFrame) -> DataFrame:
     """Matches, mean gap, the bucket that holds the median gap, and money; the largest gap comes from the extremes of each offer."""
     gap = F.col("more") + F.col("less")
     found = statistics.groupBy("category").agg(
         *(F.sum(c).alias(c) for c in ("matches", "within10", "within20", "within30")),
-        (F.sum(gap / F.col("price1")) * 100).alias("gap"), F.sum(gap).alias("value"))
+        (F.sum(_share(gap)) * 100).alias("gap"), F.sum(gap).alias("value"))
     half = F.col("matches") / 2
     median = F.when(F.col("within10") >= half, "0-10").when(F.col("within20") >= half, "10-20").when(F.col("within30") >= half, "20-30").otherwise(">30")
     most = extremes.groupBy("category").agg(F.max("price_diff_pct").alias("max_gap"))
@@ -312,7 +319,7 @@ def supplier_ratings(statistics: DataFrame) -> DataFrame:
     sides = []
     for side, n, gap in (("cheaper", "dearer", "more"), ("expensive", "cheaper", "less")):
         total = statistics.groupBy(F.col("supplier1").alias("supplier")).agg(
-            F.sum(n).alias("matches"), (F.sum(F.col(gap) / F.col("price1")) * 100).alias("gap"))
+            F.sum(n).alias("matches"), (F.sum(_share(F.col(gap))) * 100).alias("gap"))
         sides.append(total.where("matches > 0").select("supplier", "matches", (F.col("gap") / F.col("matches")).alias("mean_gap"), F.lit(side).alias("side")))
     return grouping.stacked(*sides)
 
