@@ -8,7 +8,7 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tendermill.operators import grouping
@@ -221,6 +221,7 @@ def actor_clusters(lots: DataFrame, k: int = 4, rounds: int = 30) -> DataFrame:
     Features are rows (person, feature, value), each divided by its deviation: three sums, and a flag for every supplier used.
     K-means starts from the clusters by the three sums; each round takes the centres as rows (cluster, feature, mean) and
     assigns people by |c|^2 - 2 x c, a join and a sum. No supplier is cut and no list of suppliers is gathered.
+    With at most ``k`` people each is a cluster, those of equal features one together: the clusters that k-means ends with.
     """
     keys = ["discipline", "actor_name"]
     sums = ["total_eur", "total_lots", "suppliers_count"]
@@ -241,7 +242,8 @@ def actor_clusters(lots: DataFrame, k: int = 4, rounds: int = 30) -> DataFrame:
         "person", "feature", F.coalesce(F.try_divide("x", "deviation"), F.lit(0.0)).alias("x")))
 
     if everyone <= k:
-        return people.select(*keys, *sums, F.lit(0).alias("cluster"))
+        place = _own_clusters(cells)
+        return people.join(place, "person").select(*keys, *sums, "cluster")
     start = scaled(people, sums)
     place = checkpointed(_k_means(start, k).transform(start).select("person", "cluster"))
     for _ in range(rounds):
@@ -261,6 +263,16 @@ def actor_clusters(lots: DataFrame, k: int = 4, rounds: int = 30) -> DataFrame:
     return people.join(place, "person").select(*keys, *sums, "cluster")
 
 
+def _own_clusters(cells: DataFrame) -> DataFrame:
+    """(person, cluster) of a few people, equal ones together."""
+    size = cells.groupBy("person").agg(F.count("*").alias("n"))
+    others = cells.select(F.col("person").alias("other"), "feature", "x")
+    shared = cells.join(others, ["feature", "x"]).groupBy("person", "other").agg(F.count("*").alias("shared"))
+    sizes = shared.join(size, "person").join(size.select(F.col("person").alias("other"), F.col("n").alias("n_other")), "other")
+    first = sizes.where("shared = n AND shared = n_other").groupBy("person").agg(F.min("other").alias("first"))
+    return first.select("person", (F.dense_rank().over(Window.orderBy("first")) - 1).alias("cluster"))
+
+
 def actor_cluster_stats(clusters: DataFrame) -> DataFrame:
     stats = clusters.groupBy("cluster").agg(
         F.count("*").alias("actors"), F.avg("total_eur").alias("mean_eur"), F.avg("total_lots").alias("mean_lots"))
