@@ -29,8 +29,8 @@ from tendermill.llm.store import checkpointed, stored
 
 #: Words that make a run long enough to go: passages, not headings or stock sentences.
 MIN_WORDS = 25
-#: Documents with removed lines whose line numbers may be broadcast; beyond that both sides are shuffled.
-BROADCAST_DOCUMENTS = 500_000
+#: Bytes of removed line numbers, and of a document's row without them, that may be broadcast; beyond that both sides are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -113,7 +113,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     rows = docs.withColumn("_doc", F.col(doc_id)).withColumn("_text", F.col(text).cast("string"))
     gone = later_copies(rows, min_words).groupBy("doc", "key").agg(F.collect_list("line_no").alias("_gone"))
     gone = checkpointed(gone.withColumnsRenamed({"doc": "_gone_doc", "key": "_gone_key"}))
-    if gone.count() <= BROADCAST_DOCUMENTS:
+    if (gone.agg(F.sum(F.size("_gone").cast("long") * 8 + ROW_BYTES)).first()[0] or 0) <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     mine = F.col("_doc").eqNullSafe(F.col("_gone_doc")) & (_key() == F.col("_gone_key"))
     rows = rows.join(gone, mine, "left")

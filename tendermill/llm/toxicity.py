@@ -9,7 +9,8 @@ A text is described by this difference per byte over the whole text, and by its
 by length too; a logistic function fitted on rows the models have not seen turns them into a score.
 
 Labels come from at most about ``SAMPLE`` rows, chosen by a hash of the doc_id, and only from those the caller calls
-known: three quarters of them fit the n-grams, a quarter the logistic function. So tables and broadcast are bounded.
+known: three quarters of them fit the n-grams, a quarter the logistic function. Texts are learned whole: the tables, which
+are collected and broadcast, grow with the bytes of these rows and have no bound of their own.
 
 Defined results: null or blank text has no words and gets the score of a text without evidence; labels that are null,
 repeated against each other or without a document are left out; without labels of both classes the score is the share of
