@@ -14,8 +14,11 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+PRIMES = np.array([(1 << 31) - 1, (1 << 31) - 19], dtype=np.uint64)
+BASES = (1_210_341_739, 1_848_773_521)
+#: Masks of the first bytes of a block.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+INVERSES = tuple(pow(b, -1, int(p)) for b, p in zip(BASES, PRIMES))
 #: Odd multipliers for the places of an n-gram.
 PLACES = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                    0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
@@ -49,40 +52,85 @@ def pieces(column: pa.Array, limit: int = 1 << 20):
         first = last
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each text the number of words before it (one entry more than texts)."""
-    if not len(data):
+def stretches(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of ``member`` bytes inside texts, and for each text the number of runs before it."""
+    if not len(member):
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    space = SPACE[data]
     full = offsets[:-1][offsets[1:] > offsets[:-1]]
-    before = np.empty(len(data), dtype=bool)
-    before[0], before[1:] = True, space[:-1]
+    before = np.empty(len(member), dtype=bool)
+    before[0], before[1:] = True, ~member[:-1]
     before[full] = True
-    after = np.empty(len(data), dtype=bool)
-    after[-1], after[:-1] = True, space[1:]
+    after = np.empty(len(member), dtype=bool)
+    after[-1], after[:-1] = True, ~member[1:]
     after[full[1:] - 1] = True
-    starts = np.flatnonzero(before & ~space)
-    ends = np.flatnonzero(after & ~space) + 1
+    starts = np.flatnonzero(before & member)
+    ends = np.flatnonzero(after & member) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each text the number of words before it (one entry more than texts)."""
+    return stretches(~SPACE[data], offsets)
+
+
 class Hasher:
-    """64-bit hashes of byte ranges by prefix sums; equal ranges get equal hashes wherever they lie."""
+    """64-bit hashes of byte ranges; equal ranges get equal hashes wherever they lie.
+
+    Ranges of up to ``SHORT`` bytes are mixed block by block, eight bytes at a time; those of eight bytes or less meet
+    no other of their length. Longer ones are polynomials in two primes below 2^31 by prefix sums, so no structure
+    of the bytes (as with a modulus that is a power of two) makes different ranges meet.
+    """
+
+    SHORT = 64
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.size = 0
+
+    def _powers(self, n: int) -> None:
+        self.size = max(n + 1, 1 << 20)
+        self.up, self.down = ([_powers(x, p, self.size) for x, p in zip(bases, PRIMES)] for bases in (BASES, INVERSES))
 
     def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        length = ends - starts
+        out = mix(length.astype(np.uint64) * PLACES[7] + PLACES[6])
+        padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+        block = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        long = length > self.SHORT
+        open_ = np.flatnonzero((length > 0) & ~long)
+        for done in range(0, self.SHORT, 8):
+            if not len(open_):
+                break
+            left = length[open_] - done
+            own = block[starts[open_] + done] & FIRST[np.minimum(left, 8)]
+            out[open_] = mix(out[open_] ^ own)
+            open_ = open_[left > 8]
+        if long.any():
+            out[long] = self._polynomials(data, starts[long], ends[long], out[long])
+        return out
+
+    def _polynomials(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> np.ndarray:
         n = len(data)
-        if len(self.up) <= n:
-            size = max(n + 1, 1 << 20)
-            up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
+        if self.size <= n:
+            self._powers(n)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * PLACES[7])
+        for k, p in enumerate(PRIMES):
+            terms = self.up[k][:n] * data
+            if n >= 1 << 24:
+                terms %= p  # so that the sums stay below 2^64
+            np.cumsum(terms, out=sums[1:])
+            out = mix(out ^ (sums[ends] - sums[starts]) % p * self.down[k][starts] % p)
+        return out
+
+
+def _powers(base: int, prime: np.uint64, size: int) -> np.ndarray:
+    out = np.ones(size, dtype=np.uint64)
+    done, factor = 1, base
+    while done < size:
+        more = min(done, size - done)
+        out[done: done + more] = out[:more] * np.uint64(factor) % prime
+        done, factor = done + more, factor * factor % int(prime)
+    return out
 
 
 def ngrams(hashes: np.ndarray, size: int) -> np.ndarray:
