@@ -9,10 +9,11 @@ A text is described by this difference per byte over the whole text, and by its
 by length too; a logistic function fitted on rows the models have not seen turns them into a score.
 
 Labels come from at most about ``SAMPLE`` rows, chosen by a hash of the doc_id, and only from those the caller calls
-known: three quarters of them fit the n-grams, a quarter the logistic function. Texts are learned whole: the tables, which
-are collected and broadcast, grow with the bytes of these rows and have no bound of their own.
+known: three quarters of them fit the n-grams, a quarter the logistic function. Texts are learned whole. The table of
+n-grams, which is collected and broadcast, holds at most ``GRAMS`` entries of 24 bytes: where the sample has more, half of
+it is learned from, then a quarter, and so on. Only three numbers a row reach the driver for the logistic function.
 
-Defined results: null or blank text has no words and gets the score of a text without evidence; labels that are null,
+Defined results: a label teaches one text of its doc_id, the first in order; null or blank text has no words and gets the score of a text without evidence; labels that are null,
 repeated against each other or without a document are left out; without labels of both classes the score is the share of
 toxic labels (0 if there are none); repeated rows and a null doc_id are scored like others; an empty table gives an empty
 result.
@@ -22,8 +23,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -32,10 +31,13 @@ from tendermill.llm import words
 from tendermill.llm.store import checkpointed, small_side
 
 SAMPLE = 24_000
+#: N-grams that the driver and each worker hold at most.
+GRAMS = 4_000_000
 ORDER, DISCOUNT = 6, 0.9
 #: Features of a text.
 FEATURES = 3
 _DISTINCT = 1 << 20
+_HALVINGS = 24
 
 
 def padded_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +177,29 @@ def described(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(run, StructType([*kept, *(StructField(f"f{k}", DoubleType()) for k in range(FEATURES))]))
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights and intercept of least mean log loss by Newton's steps; the ridge counts in units of each column's deviation."""
+    scale = np.where((sd := x.std(axis=0, ddof=1)) > 0, sd, 1.0)
+    z = np.column_stack((x / scale, np.ones(len(x))))
+    weight, pull = np.zeros(z.shape[1]), ridge * np.append(np.ones(x.shape[1]), 0.0)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ weight, -500, 500)))
+        slope = z.T @ (p - y) / len(y) + pull * weight
+        curve = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(pull + 1e-12)
+        step = np.linalg.solve(curve, slope)
+        longest = np.abs(step).max()
+        weight -= step * min(1.0, 5.0 / max(longest, 1e-300))
+        if longest < 1e-10:
+            break
+    return weight / np.append(scale, 1.0)
+
+
 def fold(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, known, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE,
-             least: float = 0.3, whole: bool = False) -> DataFrame:
+             least: float = 0.3, whole: bool = False, grams: int = GRAMS) -> DataFrame:
     """(doc_id, score, predicted) for every row; with ``whole`` also ``row``, all its columns.
 
     ``known`` tells from a doc_id column whether its label may be learned.
@@ -195,20 +214,29 @@ def toxicity(docs: DataFrame, labels: DataFrame, known, doc_id: str = "doc_id",
     share = min(1.0, sample / max(1, labels.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
     labels = checkpointed(labels.where(draw < int(share * (1 << 20))).withColumn("half", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(4)) == 1).cast("int")))
-    labelled = checkpointed(docs.join(small_side(labels), "doc_id").select("doc_id", "text", "toxic", "half"))
-    rows = {(r["half"], r["toxic"]): r["count"] for r in labelled.groupBy("half", "toxic").count().collect()}
-    table = gram_counts(labelled.where("half = 0").select("text", "toxic")).toPandas()
-    if len(rows) < 4 or not len(table):
+    labelled = docs.join(small_side(labels), "doc_id").groupBy("doc_id", "toxic", "half").agg(F.min("text").alias("text"))
+    labelled = checkpointed(labelled.select("doc_id", "text", "toxic", "half"))
+    for part in range(_HALVINGS):
+        learned = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1 << part)) == 0)
+        rows = {(r["half"], r["toxic"]): r["count"] for r in learned.groupBy("half", "toxic").count().collect()}
+        table = checkpointed(gram_counts(learned.where("half = 0").select("text", "toxic")))
+        if table.count() <= grams:
+            break
+    found = table.toArrow()
+    if len(rows) < 4 or not found.num_rows:
         toxic = sum(n for (_, t), n in rows.items() if t)
         constant = toxic / max(1, sum(rows.values()))
         return docs.select(*kept, F.lit(constant).alias("score"), F.lit(int(constant >= least)).alias("predicted"))
-    ratio = context.broadcast(Ratio(table.gram.to_numpy(np.int64).view(np.uint64), table.toxic.to_numpy(), table.ordinary.to_numpy()))
-    vector = array_to_vector(F.array(*(f"f{k}" for k in range(FEATURES)))).alias("features")
-    fitted = described(labelled.where("half = 1").select("doc_id", "text"), ratio).join(labels, "doc_id")
-    fitted = checkpointed(fitted.select(vector, F.col("toxic").cast("double").alias("label")))
-    model = LogisticRegression(regParam=1e-3, maxIter=50).fit(fitted)
-    z = F.lit(float(model.intercept))
-    for k, weight in enumerate(model.coefficients):
-        z = z + F.lit(float(weight)) * F.col(f"f{k}")
+    gram, toxic, ordinary = (found.column(c).to_numpy() for c in ("gram", "toxic", "ordinary"))
+    del found
+    ratio = context.broadcast(Ratio(gram.view(np.uint64), toxic, ordinary))
+    fitted = described(learned.where("half = 1").select("doc_id", "text", "toxic"), ratio)
+    # a row of numbers for each labelled document of the sample, at most SAMPLE of them
+    fitted = fitted.select(*(f"f{k}" for k in range(FEATURES)), F.col("toxic").cast("double").alias("label")).toArrow()
+    columns = [c.to_numpy() for c in fitted.columns]
+    *weights, intercept = logistic(np.column_stack(columns[:-1]), columns[-1]).tolist()
+    z = F.lit(intercept)
+    for k, weight in enumerate(weights):
+        z = z + F.lit(weight) * F.col(f"f{k}")
     scored = described(docs, ratio).select(*kept, (1 / (1 + F.exp(-z))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))

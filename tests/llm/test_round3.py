@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tendermill.llm import automata, infill, secrets, variants, words
+from tendermill.llm import automata, infill, secrets, toxicity, variants, words
 
 SCHEMA = "doc_id long, text string, word string, n long, key long, units string, spans string, form string"
 
@@ -231,3 +231,66 @@ def test_one_batch_of_many_rows(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("wort "), 200).alias("text")).coalesce(1)
     got = infill.digests(infill.fill_in_middle(docs)).groupBy().agg(F.count("*"), F.countDistinct("restored_sha256")).first()
     assert tuple(got) == (3000, 1)
+
+
+# ---------------------------------------------------------------- toxicity
+
+def test_logistic_is_the_least_loss():
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(400, 3)) * [1, 10, 0.1]
+    y = (x @ [1.5, -0.2, 3] + draw.normal(size=400) > 0.3).astype(float)
+
+    def loss(w):
+        z = x @ w[:3] + w[3]
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.5e-3 * np.sum((w[:3] * x.std(axis=0, ddof=1)) ** 2)
+
+    best = toxicity.logistic(x, y)
+    assert all(loss(best) <= loss(best + d) for d in draw.normal(size=(200, 4)) * 0.01)
+    assert np.isfinite(toxicity.logistic(np.ones((6, 3)), np.array([0, 1, 0, 1, 1, 1.0]))).all()
+
+
+def test_kneser_ney_sums_to_one():
+    """Each class's probabilities of all bytes after a context, by the arrays and by the formulas themselves."""
+    spelled = {"bad bad baad": 1, "good gold bag": 0, "dog bad good": 0}
+    grams = Counter()
+    for text, label in spelled.items():
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        starts, ends, _ = words.spans(data, np.array([0, len(data)]))
+        for g in toxicity.padded_grams(data, starts, ends)[0].tolist():
+            grams[g, label] += 1
+    known = sorted({g for g, _ in grams})
+    d, low = toxicity.DISCOUNT, lambda g, k: g & ((1 << 8 * k) - 1)
+
+    def shared(g, k):
+        """P(last byte | the k - 1 before it) from numbers of distinct longer n-grams."""
+        if not k:
+            return 1 / 257
+        longer = {low(x, k + 1) for x in known}
+        count = Counter(low(x, k) for x in longer)
+        after = {x: n for x, n in count.items() if x >> 8 == low(g, k) >> 8}
+        total = sum(after.values())
+        if not total:
+            return shared(g, k - 1)
+        return max(after.get(low(g, k), 0) - d, 0) / total + d * len(after) / total * shared(g, k - 1)
+
+    def own(g, label):
+        after = {x: grams[x, label] for x in known if x >> 8 == g >> 8 and grams[x, label]}
+        total = sum(after.values())
+        rest = shared(g, toxicity.ORDER - 1)
+        return max(after.get(g, 0) - d, 0) / total + d * len(after) / total * rest if total else rest
+
+    counts = [np.array([grams[g, k] for g in known]) for k in (1, 0)]
+    ratio = toxicity.Ratio(np.array(known, dtype=np.uint64), *counts)
+    assert np.allclose(ratio.value, [np.log(own(g, 1) / own(g, 0)) for g in known])
+    for g in known[::7]:
+        # the lowest order knows one sign more than there are bytes; like the byte 255 it is never seen
+        assert abs(sum(own(g >> 8 << 8 | b, 1) for b in [*range(256), 255]) - 1) < 1e-9
+
+
+def test_fewer_texts_where_the_table_is_full(spark):
+    docs = spark.createDataFrame([(k, f"w{k} {'bad' if k % 2 else 'good'} x{k * 7}") for k in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    known = lambda d: d.isNotNull()
+    for grams in (4_000_000, 300):
+        got = toxicity.toxicity(docs, labels, known, grams=grams).collect()
+        assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.9
