@@ -121,7 +121,9 @@ def encoded(docs: DataFrame, end_id: int, path: str | None) -> DataFrame:
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        words.give_back()  # what earlier stages left in this worker
         encoder = Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+        words.give_back()  # what reading the vocabulary took
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         width, before = (np.uint16 if narrow else np.uint32), 0
         task = TaskContext.get().partitionId()

@@ -6,6 +6,8 @@ a longer character, so bytes and characters give the same words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,6 +26,15 @@ PLACES = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0
                    0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers serve one stage after another and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers; one-to-one."""
     x = x ^ (x >> np.uint64(30))
