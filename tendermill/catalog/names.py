@@ -8,7 +8,7 @@ from tendermill.catalog.pricing import contracts_eur
 from tendermill.catalog.registry import query, with_views
 from tendermill.functions import attributes, text
 from tendermill.operators import grouping
-from tendermill.plans import comparables, metal
+from tendermill.plans import comparables, gaps, metal
 from tendermill.session import checkpointed
 from tendermill.sources import views
 
@@ -146,11 +146,44 @@ def quick_name_scores(spark, d):
     return scores.select("name1", "name2", "levenshtein", "token", "jaro", "jaro_winkler", "blocks", "score")
 
 
+# The generated names have six shapes. At 0.85 pipes of one wall pair up to a diameter 5 apart, angles of one thickness where the sides
+# agree within 5 % or 1, rounds less than 2 apart; no sheet, channel or bar does, since their sizes are critical. At 0.75 angles
+# pair up to sides 10 apart. The text ratio settles none of these pairs: the other parts leave it no say.
+_SHAPES = """
+    {0} AS (SELECT DISTINCT metal_product AS name, split_part(metal_product, ' ', 1) AS word, split_part(metal_product, ' ', 2) AS size FROM {1}),
+    shapes AS (SELECT name, word,
+        CASE word WHEN 'Труба' THEN 'трубы_фитинги' WHEN 'Круг' THEN 'расходные_материалы' ELSE 'металлопрокат' END AS category, lower(word) AS type,
+        CASE WHEN word IN ('Труба', 'Уголок') THEN split_part(size, 'х', 1)::DOUBLE WHEN word = 'Круг' THEN size::DOUBLE END AS a,
+        CASE word WHEN 'Труба' THEN split_part(size, 'х', 2)::DOUBLE WHEN 'Уголок' THEN split_part(size, 'х', 3)::DOUBLE END AS b FROM {0})"""
+_ALIKE = """CASE x.word WHEN 'Труба' THEN x.b = y.b AND abs(x.a - y.a) < 5 WHEN 'Круг' THEN abs(x.a - y.a) < 2
+    WHEN 'Уголок' THEN x.b = y.b AND (abs(x.a - y.a) <= (x.a + y.a) / 2 * 0.05 OR abs(x.a - y.a) <= 1) ELSE false END"""
+_OFFERS = f"""WITH {_SHAPES.format('n', 'contracts_eur')},
+    related AS (SELECT x.category, x.type, x.name AS name1, y.name AS name2 FROM shapes x JOIN shapes y ON x.word = y.word AND (x.name = y.name OR {_ALIKE})),
+    offers AS (SELECT metal_product AS name, counterparty_name AS supplier,
+        CAST(sum(CAST(unit_price_eur AS DECIMAL(28, 12))) AS DOUBLE) / count(*) AS price FROM contracts_eur GROUP BY 1, 2),
+    met AS (SELECT category, type, name1, name2, o.supplier AS supplier1, p.supplier AS supplier2, o.price AS price1, p.price AS price2,
+        CASE WHEN o.price > 0 THEN abs(p.price - o.price) / o.price * 100 ELSE 0 END AS gap_pct
+        FROM related JOIN offers o ON o.name = name1 JOIN offers p ON p.name = name2 AND p.supplier <> o.supplier)"""
+
+
 @query("similar_names", "M6 M7")
 def similar_names(spark, d):
     return comparables.similar_names(comparables.named_features(views.catalogue(spark, d), "metal_product"))
 
 
+@query("similar_name_pairs", "M6 J7", with_views("catalogue", f"""WITH {_SHAPES.format('n', 'catalogue')}
+    SELECT x.category, x.type, x.name AS name1, y.name AS name2 FROM shapes x JOIN shapes y ON x.word = y.word AND x.name < y.name AND {_ALIKE}"""))
+def similar_name_pairs(spark, d):
+    return similar_names(spark, d).select("category", "type", "name1", "name2")
+
+
+@query("similar_name_classes", "M9", with_views("catalogue", f"""WITH {_SHAPES.format('n', 'catalogue')}
+    SELECT x.category, x.type, x.name AS class1, y.name AS class2, CAST(1 AS BIGINT) AS names1, CAST(1 AS BIGINT) AS names2, CAST(1 AS BIGINT) AS pairs
+    FROM shapes x JOIN shapes y ON x.word = y.word AND x.name < y.name AND CASE WHEN x.word = 'Уголок' THEN x.b = y.b AND abs(x.a - y.a) <= 10 ELSE {_ALIKE} END"""))
+def similar_name_classes(spark, d):
+    return comparables.similar_classes(comparables.named_features(views.catalogue(spark, d), "metal_product"))[0]
+
+
 @query("dearest_in_block", "T6", with_views("contracts_eur", """
     SELECT row_key, word, rank FROM (SELECT row_key, split_part(metal_product, ' ', 1) AS word, row_number() OVER (
         PARTITION BY split_part(metal_product, ' ', 1) ORDER BY unit_price_eur DESC, row_key) AS rank FROM contracts_eur) t
@@ -173,22 +206,51 @@ def comparable_offers(spark, d):
     return _matches(spark, d)
 
 
-@query("critical_price_gaps", "M10")
+@query("critical_price_gaps", "M10", with_views("contracts_eur", f"""{_OFFERS}
+    SELECT category, type, name1, name2, count(*) AS matches, CAST(count_if(gap_pct > 30) AS BIGINT) AS critical FROM met GROUP BY ALL HAVING critical > 0"""))
 def critical_price_gaps(spark, d):
     return comparables.critical_gaps(_statistics(spark, d))
 
 
-@query("matches_by_category", "A55")
+def _per_offer(spark, d):
+    c = contracts_eur(spark, d, "metal_product", "counterparty_name")
+    return checkpointed(comparables.related_names(c, 0.85, "metal_product")), comparables.offers(c, "metal_product")
+
+
+@query("largest_gaps_of_names", "M10 M8", with_views("contracts_eur", f"""{_OFFERS}
+    SELECT category, type, name1, name2, supplier1, supplier2, price1, price2, gap_pct, place FROM (SELECT *, row_number() OVER (
+        PARTITION BY name1, name2 ORDER BY gap_pct DESC, supplier1, supplier2) AS place FROM met WHERE gap_pct > 30) t WHERE place <= 3"""),
+    doubles="price1 price2 gap_pct")
+def largest_gaps_of_names(spark, d):
+    return gaps.largest_of_names(*_per_offer(spark, d))
+
+
+@query("median_gap_by_category", "A55", with_views("contracts_eur", f"""{_OFFERS}
+    SELECT category, count(*) AS matches, median(gap_pct) AS median_gap FROM met GROUP BY 1"""), doubles="median_gap:6")
+def median_gap_by_category(spark, d):
+    return gaps.median_gaps(*_per_offer(spark, d))
+
+
+@query("matches_by_category", "A55", with_views("contracts_eur", f"""{_OFFERS}
+    SELECT category, count(*) AS matches, avg(gap_pct) AS mean_gap,
+           CASE WHEN count_if(gap_pct <= 10) * 2 >= count(*) THEN '0-10' WHEN count_if(gap_pct <= 20) * 2 >= count(*) THEN '10-20'
+                WHEN count_if(gap_pct <= 30) * 2 >= count(*) THEN '20-30' ELSE '>30' END AS median_gap,
+           sum(abs(price2 - price1)) AS value, avg(abs(price2 - price1)) AS mean_value, max(gap_pct) AS max_gap FROM met GROUP BY 1"""),
+    doubles="mean_gap:6 value:2 mean_value:4 max_gap:4")
 def matches_by_category(spark, d):
     return comparables.category_report(checkpointed(_statistics(spark, d)), _matches(spark, d))
 
 
-@query("match_supplier_ratings", "A55")
+@query("match_supplier_ratings", "A55", with_views("contracts_eur", f"""{_OFFERS},
+    s AS (SELECT supplier1 AS supplier, CASE WHEN price2 > price1 THEN 'cheaper' ELSE 'expensive' END AS side, gap_pct FROM met WHERE price1 <> price2)
+    SELECT supplier, count(*) AS matches, avg(gap_pct) AS mean_gap, side FROM s GROUP BY 1, 4"""), doubles="mean_gap")
 def match_supplier_ratings(spark, d):
     return comparables.supplier_ratings(checkpointed(_statistics(spark, d)))
 
 
-@query("match_gap_buckets", "A55")
+@query("match_gap_buckets", "A55", with_views("contracts_eur", f"""{_OFFERS}
+    SELECT CASE WHEN gap_pct <= 10 THEN '0-10' WHEN gap_pct <= 20 THEN '10-20' WHEN gap_pct <= 30 THEN '20-30' ELSE '>30' END AS bucket,
+           count(*) AS matches FROM met GROUP BY 1"""))
 def match_gap_buckets(spark, d):
     return comparables.gap_buckets(_statistics(spark, d))
 

@@ -124,3 +124,29 @@ def percentile_rank(df: DataFrame, value: str, result: str) -> DataFrame:
         ((F.col("running") - (F.col("_ties") - 1) / 2) / F.col("group_total")).alias(result),
     )
     return df.join(ranked, F.col(value) == F.col("_value"), "left").drop("_value")
+
+
+def counts_below(probes: DataFrame, values: DataFrame, keys: Iterable[str], at: str, value: str, strict: str) -> DataFrame:
+    """``probes`` with ``below`` and ``sum_below``: how many values of their group lie at or below ``at``, and their sum.
+
+    Where the boolean column ``strict`` is true, values equal to ``at`` do not count. Both tables meet band by band; a
+    probe's group may have no value at all. Null probes and values are left out.
+    """
+    keys = list(keys)
+    probes, values = probes.where(F.col(at).isNotNull()), values.where(F.col(value).isNotNull())
+    put = probes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(at).cast("double").alias("_at"),
+                        F.when(F.col(strict), 0).otherwise(2).alias("_place"), F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_sum"),
+                        F.struct(*probes.columns).alias("_probe"))
+    folded = values.groupBy(*keys, F.col(value).cast("double").alias("_at")).agg(F.count("*").alias("_n"))
+    folded = folded.select(*(F.col(k).alias(f"_{k}") for k in keys), "_at", F.lit(1).alias("_place"), "_n", (F.col("_n") * F.col("_at")).alias("_sum"),
+                           F.lit(None).cast(put.schema["_probe"].dataType).alias("_probe"))
+    both = put.unionByName(folded).withColumn("_band", band_of(F.col("_at")))
+    names = [f"_{k}" for k in keys]
+    earlier = Window.partitionBy(*names).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = both.groupBy(*names, "_band").agg(F.sum("_n").alias("_all"), F.sum("_sum").alias("_total"))
+    bands = bands.select(*names, "_band", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"),
+                         F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_sum_before"))
+    met = both.alias("d").join(bands.alias("b"), _same("d", "b", [*names, "_band"])).select("d.*", "b._before", "b._sum_before")
+    order = Window.partitionBy(*names, "_band").orderBy("_at", "_place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = met.withColumns({"below": F.col("_before") + F.sum("_n").over(order), "sum_below": F.col("_sum_before") + F.sum("_sum").over(order)})
+    return placed.where("_probe IS NOT NULL").select("_probe.*", "below", "sum_below")

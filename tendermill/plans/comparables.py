@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tendermill.functions import attributes, pairs, text
 from tendermill.functions.penalties import critical_attributes, critical_penalty
-from tendermill.operators import grouping
+from tendermill.operators import blocks, grouping
 from tendermill.session import checkpointed
 
 # Weights of the feature similarity.
@@ -114,41 +114,49 @@ def _size_cell(value: Column) -> Column:
     return F.floor(F.log(value + 20) / math.log(1.06))
 
 
-def size_candidates(features: DataFrame) -> DataFrame:
-    """Pairs of one category and type that agree in at least one dimension."""
+def size_candidates(features: DataFrame, block: int = blocks.BLOCK) -> DataFrame:
+    """Pairs of one category and type that agree in at least one dimension.
+
+    A value meets those of its own cell and of the next one; a crowded cell is cut into a matrix of blocks.
+    """
     stated = F.filter(F.array(*(F.struct(F.lit(d).alias("dim"), _size_cell(F.col(f"f.{d}")).alias("cell"))
                                 for d in DIMENSIONS)), lambda e: e["cell"].isNotNull())
     keyed = features.where(F.col("f.category").isNotNull()).select(
         "name", F.col("f.category").alias("category"), F.col("f.type").alias("type"), F.explode(stated).alias("k"))
-    left = keyed.select("category", "type", "k.dim", F.explode(F.sequence(F.col("k.cell") - 1, F.col("k.cell") + 1)).alias("cell"),
-                        F.col("name").alias("name1"))
-    right = keyed.select("category", "type", "k.dim", "k.cell", F.col("name").alias("name2"))
-    joined = left.join(right, ["category", "type", "dim", "cell"]).where(F.col("name1") < F.col("name2"))
-    return joined.select("name1", "name2").distinct()
+    # a cell as the lower one of two neighbours, and as the upper one
+    sides = F.explode(F.array(F.struct(F.col("k.cell").alias("lower"), F.lit(0).alias("up")), F.struct((F.col("k.cell") - 1).alias("lower"), F.lit(1).alias("up"))))
+    met = keyed.select("category", "type", "k.dim", "name", sides.alias("s")).select("category", "type", "dim", "name", "s.lower", "s.up")
+    found = blocks.pairs(met, ["category", "type", "dim", "lower"], "name", ["up"], block)
+    # both in the lower cell, or one in each; two in the upper cell meet again in theirs
+    return found.where("up1 = 0 OR up2 = 0").select("name1", "name2").distinct()
+
 
+def _mask(f: Column) -> Column:
+    return F.concat(*(F.when(f[d].isNull(), "0").otherwise("1") for d in DIMENSIONS))
 
-def unsized_candidates(features: DataFrame, threshold: float = 0.85, salts: int = 16) -> DataFrame:
+
+def _apart(a: str, b: str) -> Column:
+    """No dimension is stated by both."""
+    apart = F.lit(True)
+    for i in range(1, len(DIMENSIONS) + 1):
+        apart = apart & ~((F.substring(a, i, 1) == "1") & (F.substring(b, i, 1) == "1"))
+    return apart
+
+
+def unsized_candidates(features: DataFrame, threshold: float = 0.85, block: int = blocks.BLOCK) -> DataFrame:
     """Pairs of one category and type that state no dimension in common, where the rest can still reach the threshold.
 
     Their size counts as neutral, so material, standard and text must add up to ten times what the threshold exceeds 0.64 by.
-    The block is split by a salt: a category that holds most names is shared by many tasks.
+    A category that holds most names is cut into as many blocks as its size asks for.
     """
-    mask = F.concat(*(F.when(F.col(f"f.{d}").isNull(), "0").otherwise("1") for d in DIMENSIONS))
     small = features.where(F.col("f.category").isNotNull()).select(
         "name", F.col("f.category").alias("category"), F.col("f.type").alias("type"), F.col("f.material").alias("material"),
-        F.col("f.standard").alias("standard"), F.length("flat").alias("len"), mask.alias("mask"))
-    left = small.select("category", "type", F.pmod(F.xxhash64("name"), F.lit(salts).cast("long")).alias("salt"),
-                        F.struct("name", "material", "standard", "len", "mask").alias("a"))
-    right = small.select("category", "type", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
-                         F.struct("name", "material", "standard", "len", "mask").alias("b"))
-    joined = left.join(right, ["category", "type", "salt"]).where(F.col("a.name") < F.col("b.name"))
-    apart = F.lit(True)
-    for i in range(1, len(DIMENSIONS) + 1):
-        apart = apart & ~((F.substring("a.mask", i, 1) == "1") & (F.substring("b.mask", i, 1) == "1"))
-    rest = _stated(F.col("a.material"), F.col("b.material"), 0.5) + _stated(F.col("a.standard"), F.col("b.standard"), 0.3)
+        F.col("f.standard").alias("standard"), F.length("flat").alias("len"), _mask(F.col("f")).alias("mask"))
+    found = blocks.pairs(small, ["category", "type"], "name", ["material", "standard", "len", "mask"], block)
+    rest = _stated(F.col("material1"), F.col("material2"), 0.5) + _stated(F.col("standard1"), F.col("standard2"), 0.3)
     # no text ratio exceeds twice the shorter length over both lengths
-    most = 2 * F.least("a.len", "b.len") / (F.col("a.len") + F.col("b.len"))
-    return joined.where(apart & (rest + most >= (threshold - 0.64) * 10 - 1e-9)).select(F.col("a.name").alias("name1"), F.col("b.name").alias("name2"))
+    most = 2 * F.least("len1", "len2") / (F.col("len1") + F.col("len2"))
+    return found.where(_apart("mask1", "mask2") & (rest + most >= (threshold - 0.64) * 10 - 1e-9)).select("name1", "name2")
 
 
 def similar_names(features: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -165,6 +173,76 @@ def similar_names(features: DataFrame, threshold: float = 0.85) -> DataFrame:
     return scored_pairs(full, threshold).select("category", "type", "name1", "name2", "similarity")
 
 
+# ---------------------------------------------------------------- classes of names
+
+
+def name_classes(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names that agree in category, type, dimensions, material, standard and critical attributes are one class.
+
+    (name, f, critical, names) with the first name standing for its class, and the members (class, name, flat).
+    """
+    stated = F.struct("f.category", "f.type", *(f"f.{d}" for d in DIMENSIONS), "f.material", "f.standard", "critical")
+    keyed = features.where(F.col("f.category").isNotNull() & F.col("f.type").isNotNull()).withColumn("print", F.sha2(F.to_json(stated), 256))
+    classes = checkpointed(keyed.groupBy("print").agg(
+        F.min("name").alias("name"), F.min_by("f", "name").alias("f"), F.min_by("critical", "name").alias("critical"), F.count("*").alias("names")))
+    members = keyed.join(classes.select("print", F.col("name").alias("class")), "print").select("class", "name", "flat")
+    return classes.drop("print"), checkpointed(members)
+
+
+def class_candidates(classes: DataFrame, block: int = blocks.BLOCK) -> DataFrame:
+    """All pairs of classes that can reach 0.75: they agree in a dimension, state none in common, or share material or standard.
+
+    With no dimension in agreement the weights give 0.5 and the text 0.1, so material and standard must add 0.15,
+    which they only do where one of the two is stated alike.
+    """
+    known = classes.select("name", F.col("f.category").alias("category"), F.col("f.type").alias("type"), F.col("f.material").alias("material"),
+                           F.col("f.standard").alias("standard"), _mask(F.col("f")).alias("mask"))
+    found = [size_candidates(classes, block)]
+    for shared in ("material", "standard"):
+        found.append(blocks.pairs(known, ["category", "type", shared], "name", [], block).select("name1", "name2"))
+    # a class meets those of every set of dimensions that is apart from its own, itself included if it states none
+    masks = [format(m, f"0{len(DIMENSIONS)}b") for m in range(1 << len(DIMENSIONS))]
+    apart = {m: [x for x in masks if not int(m, 2) & int(x, 2)] for m in masks}
+    partners = F.create_map(*(x for m in masks for x in (F.lit(m), F.array(*map(F.lit, apart[m])))))
+    theirs = known.select("name", "category", "type", F.explode(F.element_at(partners, F.col("mask"))).alias("mask"))
+    found.append(blocks.between(known, theirs, ["category", "type", "mask"], ["name"], block).where("name1 < name2").select("name1", "name2"))
+    return grouping.stacked(*found).distinct()
+
+
+def similar_classes(features: DataFrame, threshold: float = 0.75, block: int = blocks.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes with the number of their pairs of names at or above the threshold, and the members of classes.
+
+    All but the text ratio is the same for all names of two classes. Where it leaves the threshold passed or out of reach,
+    the pair is settled as a whole; texts are only read in the band between, each distinct text of a class once.
+    """
+    if threshold < 0.75:
+        raise ValueError("below 0.75 classes without anything in common can pass")
+    classes, members = name_classes(features)
+    own = classes.where("names > 1").select(F.col("name").alias("name1"), F.col("name").alias("name2"))
+    sides = [classes.select(*(F.col(c).alias(f"{c}{i}") for c in ("name", "f", "critical", "names"))) for i in (1, 2)]
+    met = class_candidates(classes, block).unionByName(own).join(sides[0], "name1").join(sides[1], "name2")
+    scored = met.withColumn("penalty", critical_penalty(F.col("critical1"), F.col("critical2"))).where("penalty >= 0.5")
+    scored = scored.withColumn("base", feature_base(F.col("f1"), F.col("f2"))).where((F.col("base") + WEIGHTS["string"]) * F.col("penalty") >= threshold)
+    scored = checkpointed(scored.select(
+        F.col("f1.category").alias("category"), F.col("f1.type").alias("type"), F.col("name1").alias("class1"), F.col("name2").alias("class2"),
+        "names1", "names2", "base", "penalty", (F.col("base") * F.col("penalty") >= threshold).alias("settled")))
+    every = F.when(F.col("class1") == F.col("class2"), F.col("names1") * (F.col("names1") - 1) / 2).otherwise(F.col("names1") * F.col("names2"))
+    settled = scored.where("settled").withColumn("pairs", every.cast("long"))
+    texts = checkpointed(members.groupBy("class", "flat").agg(F.count("*").alias("n")))
+    left, right = (texts.select(*(F.col(c).alias(f"{c}{i}") for c in ("class", "flat", "n"))) for i in (1, 2))
+    band = scored.where("NOT settled").join(left, "class1").join(right, "class2")
+    band = band.where((F.col("class1") != F.col("class2")) | (F.col("flat1") <= F.col("flat2")))
+    most = 2 * F.least(F.length("flat1"), F.length("flat2")) / (F.length("flat1") + F.length("flat2"))
+    band = band.where((F.col("base") + WEIGHTS["string"] * most) * F.col("penalty") >= threshold - 1e-9)
+    band = band.withColumn("ratio", pairs.blocks_similarity(F.col("flat1"), F.col("flat2")))
+    band = band.where((F.col("base") + WEIGHTS["string"] * F.col("ratio")) * F.col("penalty") >= threshold)
+    within = (F.col("class1") == F.col("class2")) & (F.col("flat1") == F.col("flat2"))
+    weight = F.when(within, F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")).cast("long")
+    read = band.groupBy("category", "type", "class1", "class2", "names1", "names2").agg(F.sum(weight).alias("pairs"))
+    kept = ["category", "type", "class1", "class2", "names1", "names2", "pairs"]
+    return settled.select(*kept).unionByName(read.select(*kept)).where("pairs > 0"), members
+
+
 def own_similarity(features: DataFrame) -> DataFrame:
     """A name against itself: text, category and type agree, unstated parts stay neutral."""
     known = features.where(F.col("f.category").isNotNull())
