@@ -57,7 +57,22 @@ FAMILIES = [
     ("Лист 5 Ст3", "Лист 5 С345", 0.40), ("Лист рифленый 5х1500х6000", "Лист рифленый 6х1500х6000", 0.30), ("Лист 5 С345", "Лист 5 С355", 1.0),
     ("Труба 108*4", "Труба 159*4", 0.30), ("Труба 108х4", "Труба 114", 0.30), ("Труба 159,4", "Труба 163", 1.0), ("Труба 159", "Труба 166", 0.30),
     ("Труба 57х3 ст20", "Труба 57х4 ст20", 0.30), ("Труба ПВХ 110х3", "Труба ПВХ 110х6", 0.40), ("Труба ПВХ 110х3", "Труба ПВХ 110х4", 1.0),
-    ("Труба ПНД 63", "Труба ППР 63", 0.30), ("Труба ПНД 63 ХВС", "Труба ПНД 63 газ", 0.30)]
+    ("Труба ПНД 63", "Труба ППР 63", 0.30), ("Труба ПНД 63 ХВС", "Труба ПНД 63 газ", 0.30),
+    ("Отвод 90 76х5", "Отвод 45 76х5", 0.3), ("Отвод 90 76*5", "Отвод 90 108*5", 0.3), ("Отвод крутоизогнутый 76х5", "Отвод 76х5", 0.4),
+    ("Отвод 90 76х5", "Отвод 90 76х5,5", 1.0), ("Отвод 90 76х5", "Отвод 90 78х5", 1.0), ("Отвод П 90 114×5-20", "Отвод 90 114×5", 0.4),
+    ("Розетка скрытая IP54", "Розетка скрытая IP65", 0.3), ("Розетка скрытая IP44", "Розетка скрытая IP54", 1.0),
+    ("Розетка скрытая IP20", "Розетка скрытая IP44", 0.3), ("Розетка скрытая двойная", "Розетка скрытая тройная", 0.3),
+    ("Розетка скрытая 2 места", "Розетка скрытая двойная", 1.0), ("Розетка скрытая двойная", "Розетка скрытая", 0.4),
+    ("Розетка кабельная 16А", "Розетка переносная 16А", 1.0), ("Розетка накладная", "Розетка встраиваемая", 0.25),
+    ("Розетка скрытая 220В 16А 2", "Розетка скрытая 16А 220В 1", 0.3), ("Клапан 15мм", "Клапан 20мм", 0.3),
+    ("Клапан DN4\"", "Клапан Ду100", 0.3), ("Клапан DN3/4", "Клапан DN3", 0.3), ("Клапан CL300", "Клапан CL150", 0.3),
+    ("Кран PN4", "Кран PN16", 0.3), ("Кран полнопроходной", "Кран водоразборный", 0.3),
+    ("Клапан запорный A216-WCB", "Клапан запорный A351-CF3A", 0.7), ("Клапан обратный", "Клапан запорный", 0.3),
+    ("Клапан регулирующий", "Дроссель-клапан", 1.0), ("Уголок 63*6", "Уголок 63*5", 0.3), ("Уголок 63х63х5", "Уголок 75х75х5", 0.3),
+    ("Уголок 63х63х5", "Уголок 70х70х5", 1.0), ("Уголок наружный 20", "Уголок внутренний 20", 0.3),
+    ("Задвижка клиновая Ду100", "Задвижка шиберная Ду100", 1.0), ("Задвижка Ду100", "Задвижка Ду80", 0.3),
+    ("Муфта обжимная 20", "Муфта соединительная 20", 1.0), ("Муфта кабельная", "Муфта концевая", 0.35), ("Муфта Ø50", "Муфта Ø32", 0.528),
+    ("Муфта Ø32", "Муфта Ø40", 1.0),]
 
 
 def test_penalties_of_families(spark):
