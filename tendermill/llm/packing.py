@@ -148,6 +148,8 @@ def encoded(docs: DataFrame, end_id: int, path: str | None) -> DataFrame:
             if n:
                 yield rows(batch.column(0).slice(done, len(n)), n, blobs, before)
                 before += sum(n)
+        encoder = None
+        words.give_back()
 
     return docs.mapInArrow(run, "task int, start long, tokens long, doc_id long, width int, ids binary")
 

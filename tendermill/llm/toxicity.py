@@ -172,6 +172,9 @@ def described(docs: DataFrame, shared) -> DataFrame:
             rows = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(rows[:, k]) for k in range(FEATURES))],
                                              names=[*names, *(f"f{k}" for k in range(FEATURES))])
+        memo.clear()
+        value = size = None
+        words.give_back()
 
     names = [f.name for f in kept]
     return docs.mapInArrow(run, StructType([*kept, *(StructField(f"f{k}", DoubleType()) for k in range(FEATURES))]))
