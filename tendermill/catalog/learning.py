@@ -10,7 +10,7 @@ from tendermill.catalog.registry import query
 from tendermill.catalog.suppliers import supplier_contracts
 from tendermill.functions.text import before_bracket
 from tendermill.operators import grouping
-from tendermill.plans import clusters, density, kpi, regression, series, suppliers
+from tendermill.plans import clusters, density, group_regression, kpi, regression, series, suppliers
 from tendermill.session import checkpointed
 from tendermill.sources import views
 
@@ -144,3 +144,9 @@ def model_comparison(spark, d):
 def next_week_prediction(spark, d):
     contracts = contracts_eur(spark, d, "contract_signing_date", "contract_number", "counterparty_name", "project_name")
     return regression.next_week_by_project(contracts)
+
+
+@query("next_week_by_project", "K13")
+def next_week_by_project(spark, d):
+    contracts = contracts_eur(spark, d, "contract_signing_date", "contract_number", "counterparty_name", "project_name")
+    return group_regression.next_week_by_group(contracts)
