@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tendermill.catalog.pricing import contracts_eur, lots_eur
 from tendermill.catalog.registry import query, with_views
 from tendermill.functions.text import before_bracket
-from tendermill.operators import outliers
+from tendermill.operators import outliers, robust
 from tendermill.operators.describing import column_summaries
 from tendermill.operators.quantiles import percentile_rank
 from tendermill.plans import suppliers
@@ -214,3 +214,11 @@ def anomalies_by_actor(spark, d):
     from tendermill.plans.prices import anomaly_counts
     found = _anomalies(spark, d).where("is_anomaly").withColumn("actor_name", before_bracket("actor_name"))
     return anomaly_counts(found, "actor_name")
+
+
+@query("robust_price_anomalies", "O6 O7", doubles="total_price_eur robust_distance:5")
+def robust_price_anomalies(spark, d):
+    lots = lots_eur(spark, d, "row_key", "actor_name", "winner_name", "supplier_qty")
+    found = robust.trimmed_distance(lots, ["unit_price_eur", "total_price_eur", "supplier_qty"])
+    return found.where("is_anomaly").select("row_key", "winner_name", "total_price_eur", "robust_distance").orderBy(
+        F.desc("total_price_eur"), "row_key")
