@@ -125,6 +125,8 @@ def compared_models(data: Prepared, trees: int = 200, rounds: int = 200) -> tupl
         on_test = _evaluated(fitted[name].transform(test), data.use_log)
         gap = on_train["r2"] - on_test["r2"]
         rows.append((name, on_train["r2"], on_test["r2"], on_test["mse"], on_test["rmse"], on_test["mae"], gap, gap > OVERFIT))
+    for frame in (train, test):
+        frame.unpersist()
     return sorted(rows, key=lambda r: -r[2]), fitted
 
 
