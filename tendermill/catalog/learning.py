@@ -113,6 +113,11 @@ def density_clusters(spark, d):
     return density.cluster_means(found, ["quantity", "unit_price", "total_contract_amount"])
 
 
+@query("k_distance_curve", "K6", doubles="distance:9")
+def k_distance_curve(spark, d):
+    return density.k_distance_curve(_deals(spark, d), "row_key", ["quantity", "unit_price", "total_contract_amount"])
+
+
 @query("density_grid", "K6")
 def density_grid(spark, d):
     return density.density_grid(_deals(spark, d), "row_key", ["quantity", "unit_price", "total_contract_amount"],
