@@ -16,10 +16,11 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendermill.operators import grouping
+from tendermill.operators.information import mutual_information
 from tendermill.plans import series
 from tendermill.session import checkpointed
 
@@ -71,10 +72,10 @@ def prepared(features: DataFrame, test_share: float = series.TEST_SHARE, use_log
                     scaler.transform(assembler.transform(last)).drop("raw"), columns, use_log)
 
 
-def feature_ranking(train: DataFrame, columns: list[str], trees: int = 100, buckets: int = 8) -> DataFrame:
+def feature_ranking(train: DataFrame, columns: list[str], trees: int = 100) -> DataFrame:
     """Forest importance, F score and mutual information, each scaled to 0-1 and weighted.
 
-    Mutual information is measured on quantile buckets of the weeks (an approximation).
+    Mutual information is estimated from nearest weeks, for all features in one job.
     """
     spark = train.sparkSession
     forest = RandomForestRegressor(numTrees=trees, maxDepth=8, seed=SEED, featuresCol="features", labelCol="target").fit(train)
@@ -85,17 +86,7 @@ def feature_ranking(train: DataFrame, columns: list[str], trees: int = 100, buck
     ).select("contract_week", "target", "e.*")
     r2 = F.pow(F.corr("x", "target"), F.lit(2))
     f_score = long.groupBy("feature").agg((F.try_divide(r2, 1 - r2) * (F.count("*") - 2)).alias("f_score"))
-    # one row per week and feature: the windows are bounded by the calendar
-    cut = long.select("feature", F.ntile(buckets).over(Window.partitionBy("feature").orderBy("x", "contract_week")).alias("bx"),
-                      F.ntile(buckets).over(Window.partitionBy("feature").orderBy("target", "contract_week")).alias("by"))
-    cells = cut.groupBy("feature", "bx", "by").agg(F.count("*").alias("n"))
-    x_sum = cells.groupBy("feature", "bx").agg(F.sum("n").alias("nx"))
-    y_sum = cells.groupBy("feature", "by").agg(F.sum("n").alias("ny"))
-    whole = cells.groupBy("feature").agg(F.sum("n").alias("all"))
-    joint = cells.join(x_sum, ["feature", "bx"]).join(y_sum, ["feature", "by"]).join(whole, "feature")
-    information = joint.groupBy("feature").agg(
-        F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny"))))
-        .alias("mutual_information"))
+    information = mutual_information(long, "feature", "x", "target")
     parts = importance.join(f_score, "feature").join(information, "feature").fillna(0.0)
     bounds = grouping.with_whole_stats(parts, "_b", **{f"{e}_{p}": getattr(F, e)(p) for p in RANKING for e in ("min", "max")})
 
