@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tendermill.functions import values
 from tendermill.operators import grouping
 from tendermill.operators.quantiles import exact_quantiles, percentile_rank
+from tendermill.session import checkpointed, stored
 
 SUPPLIER = "counterparty_name"
 AMOUNT = "total_contract_amount_eur"
+READ = [SUPPLIER, AMOUNT, "unit_price_eur", "contract_signing_date", "delivery_time_days", "quantity", "product_amount",
+        "additional_expenses", "project_name", "product_name", "unit", "discipline", "contract_currency"]
 
 
 def supplier_aggregates(contracts: DataFrame) -> DataFrame:
@@ -57,8 +60,12 @@ def seasonal_variance(contracts: DataFrame) -> DataFrame:
 
 
 def supplier_features(contracts: DataFrame) -> DataFrame:
-    """The full feature table: aggregates plus derived ratios, volatilities, ranks and indices; nulls become 0."""
-    base = supplier_aggregates(contracts)
+    """The full feature table: aggregates plus derived ratios, volatilities, ranks and indices; nulls become 0.
+
+    Statistics, distinct counts and seasons read the contracts anew, so they are put together once; the ranks read the aggregates again.
+    """
+    contracts = stored(contracts.select(*READ))
+    base = checkpointed(supplier_aggregates(contracts))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     first = base.withColumns({
         "years_active": F.greatest(F.datediff("last_contract", "first_contract") / 365.25, F.lit(0.1)),
