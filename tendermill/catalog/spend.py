@@ -45,8 +45,9 @@ def lots_by_discipline_currency(spark, d):
     SELECT discipline, actor_name, currency, count(DISTINCT lot_number) AS lots
     FROM lots GROUP BY discipline, actor_name, currency"""))
 def lots_by_actor_currency(spark, d):
-    lots = views.lots(spark, d, "discipline", "actor_name", "currency", "lot_number")
-    return spend.distinct_lots(lots, "discipline", "actor_name", "currency")
+    keys = ["discipline", "actor_name", "currency"]
+    lots = views.lots(spark, d, *keys, "lot_number")
+    return spend.distinct_lots(views.spread(spark, d, lots, *keys), *keys)
 
 
 @query("monthly_totals_eur", "A4", with_views("lots_eur", """
