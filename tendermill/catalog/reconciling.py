@@ -32,7 +32,9 @@ def _pairs(spark, d):
                       "supplier_qty", "unit_price").withColumn("actor_name", before_bracket("actor_name"))
     contracts = views.contracts(spark, d, "lot_number", "contract_currency", "counterparty_name", "executor_dak",
                                 "contract_signing_date", "total_contract_amount", "quantity", "unit_price")
-    return rec.reconciled(lots, contracts)
+    # both sides by the columns they are joined on, so that neither grouping nor join deals them again
+    return rec.reconciled(views.spread(spark, d, lots, "lot_number", "currency", "winner_name"),
+                          views.spread(spark, d, contracts, "lot_number", "contract_currency", "counterparty_name"))
 
 
 @query("lots_with_contracts", "J1", with_views("lots contracts", f"WITH {_PAIRS} SELECT * FROM p"), doubles=_PAIR_DOUBLES)
