@@ -33,7 +33,7 @@ def folder(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name, dealt", [("lots_by_actor_currency", True), ("lots_with_contracts", True), ("price_discrepancies", True),
                                          ("supplier_prices", False)])
-def test_tasks_follow_the_lines(spark, folder, monkeypatch, name, dealt):
+def test_tasks_follow_the_lines(spark, folder, monkeypatch, capsys, name, dealt):
     q = load()[name]
     few = sorted(map(tuple, q.run(spark, folder).collect()))
     monkeypatch.setattr(views, "MANY", 0)
@@ -41,4 +41,12 @@ def test_tasks_follow_the_lines(spark, folder, monkeypatch, name, dealt):
     many = q.run(spark, folder)
     assert few and sorted(map(tuple, many.collect())) == few
     assert not dealt or many.rdd.getNumPartitions() == 120 // 3 + 1
-    assert views.lots(spark, folder, "lot_number", "lot_status").rdd.getNumPartitions() == 120 // 3 + 1
+    views.lots(spark, folder, "lot_number", "lot_status").explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_contracts_are_put_together_once(spark, folder, capsys):
+    found = load()["alternatives_for_major_suppliers"].run(spark, folder)
+    assert not any("lineitem" in name for name in found.inputFiles())
+    load()["contract_export_cleaned"].run(spark, folder).explain()
+    assert capsys.readouterr().out.count("FileScan parquet [l_") == 1
