@@ -32,21 +32,21 @@ def _same(left: str, right: str, keys: Iterable[str]) -> Column:
     return condition
 
 
-def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, wanted: Mapping[str, float], reread: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``wanted``.
 
-    Values are first counted per (group, value), which also folds copies together.
+    Values are first counted per (group, value), which also folds copies together. With ``reread``, for a table that is
+    cheap to read, the bands are counted first and only values of the bands in question are shuffled.
     A group without any value gets no row; without keys there is always one row.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    counted = (
-        df.where(v.isNotNull())
-        .groupBy(*keys, (v + F.lit(0.0)).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_band", band_of(F.col("_v")))
-    )
-    bands = counted.groupBy(*keys, "_band").agg(F.sum("_n").alias("_in_band"))
+    values = df.where(v.isNotNull()).select(*keys, (v + F.lit(0.0)).alias("_v")).withColumn("_band", band_of(F.col("_v")))
+    counted = values.groupBy(*keys, "_v", "_band").agg(F.count("*").alias("_n"))
+    if reread:
+        bands = values.groupBy(*keys, "_band").agg(F.count("*").alias("_in_band"))
+    else:
+        bands = counted.groupBy(*keys, "_band").agg(F.sum("_n").alias("_in_band"))
     by_key = Window.partitionBy(*keys)
     before = F.sum("_in_band").over(by_key.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1))
     bands = bands.withColumns(
@@ -60,6 +60,9 @@ def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, wanted: Mapp
             hit = hit | ((edge >= F.col("_before")) & (edge < end))
     bands = bands.where(hit)
     on = _same("c", "b", [*keys, "_band"])
+    if reread:
+        near = values.alias("c").join(bands.alias("b"), on, "left_semi")
+        counted = near.groupBy(*keys, "_v", "_band").agg(F.count("*").alias("_n"))
     rows = counted.alias("c").join(bands.alias("b"), on).select("c.*", "b._before", "b._total")
     in_band = Window.partitionBy(*keys, "_band").orderBy("_v")
     upto = F.col("_before") + F.sum("_n").over(in_band.rowsBetween(Window.unboundedPreceding, 0))

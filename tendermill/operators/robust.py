@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendermill.operators.quantiles import exact_quantiles
-from tendermill.session import checkpointed
+from tendermill.session import stored
 
 
 def _distance(names: list[str], centre: np.ndarray, weights: np.ndarray) -> Column:
@@ -47,25 +47,25 @@ def trimmed_distance(df: DataFrame, columns: Iterable[str], kept: float = 0.75,
         v = F.col(c).cast("double")
         finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     rows = df.where(finite)
-    raw = checkpointed(rows.select(*(F.col(c).cast("double").alias(n) for c, n in zip(columns, names))))
+    raw = stored(rows.select(*(F.col(c).cast("double").alias(n) for c, n in zip(columns, names))))
     if raw.isEmpty():
         return rows.withColumns({"robust_distance": F.lit(0.0), "is_anomaly": F.lit(False)})
     middle, scale = [], []
     deviations = raw.agg(*(F.stddev_pop(n).alias(n) for n in names)).first()
     for n in names:
-        middle.append(exact_quantiles(raw, [], n, {"q": 0.5}).first()["q"])
+        middle.append(exact_quantiles(raw, [], n, {"q": 0.5}, reread=True).first()["q"])
         away = raw.select(F.abs(F.col(n) - F.lit(middle[-1])).alias("away"))
-        scale.append(exact_quantiles(away, [], "away", {"q": 0.5}).first()["q"] or deviations[n] or 1.0)
+        scale.append(exact_quantiles(away, [], "away", {"q": 0.5}, reread=True).first()["q"] or deviations[n] or 1.0)
 
     def unit(n: str, c: Column) -> Column:
         i = names.index(n)
         return (c - F.lit(float(middle[i]))) / F.lit(float(scale[i]))
 
-    points = checkpointed(raw.select(*(unit(n, F.col(n)).alias(n) for n in names)))
+    points = raw.select(*(unit(n, F.col(n)).alias(n) for n in names))
     centre, weights, before = np.zeros(len(names)), np.eye(len(names)), np.inf
     while True:
         far = points.withColumn("_far", _distance(names, centre, weights))
-        bound = exact_quantiles(far, [], "_far", {"q": kept}).first()["q"]
+        bound = exact_quantiles(far, [], "_far", {"q": kept}, reread=True).first()["q"]
         next_centre, spread = _moments(far.where(F.col("_far") <= F.lit(bound)), names)
         size = float(np.linalg.det(spread))
         if not size < before * (1 - settled):
@@ -73,5 +73,5 @@ def trimmed_distance(df: DataFrame, columns: Iterable[str], kept: float = 0.75,
         centre, weights, before = next_centre, np.linalg.pinv(spread, hermitian=True), size
     scored = rows.withColumns({n: unit(n, F.col(c).cast("double")) for c, n in zip(columns, names)})
     scored = scored.withColumn("robust_distance", _distance(names, centre, weights)).drop(*names)
-    bound = exact_quantiles(points.withColumn("_far", _distance(names, centre, weights)), [], "_far", {"q": 1 - contamination}).first()["q"]
+    bound = exact_quantiles(points.withColumn("_far", _distance(names, centre, weights)), [], "_far", {"q": 1 - contamination}, reread=True).first()["q"]
     return scored.withColumn("is_anomaly", F.col("robust_distance") > F.lit(bound))
