@@ -64,7 +64,9 @@ def contract_export_cleaned(spark, d):
         "lot_number": F.col("lot_number").cast("string"),
         "delivery_time_days": F.col("delivery_time_days").cast("string"),
     }).withColumnsRenamed({v: k for k, v in schemas.CONTRACT_HEADERS.items()})
-    cleaned = intake.contracts_from_export(as_text.unionByName(as_text))
+    # both copies are made from one text, so lines are joined and written as text once
+    twice = as_text.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    cleaned = intake.contracts_from_export(twice)
     return cleaned.groupBy("executor_dak", "discipline").agg(
         F.count("*").alias("lines"), F.sum("quantity").alias("quantity"), F.sum("product_amount").alias("amount"),
         F.min("contract_signing_date").alias("first_signed"))
