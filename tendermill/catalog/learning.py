@@ -126,9 +126,8 @@ def density_grid(spark, d):
 
 def _prepared(spark, d):
     contracts = contracts_eur(spark, d, "contract_signing_date", "contract_number", "counterparty_name")
-    features = series.weekly_features(contracts)
-    weekly = checkpointed(series.weekly_base(contracts).select("contract_week", "total_amount"))
-    return regression.prepared(features), weekly
+    weekly = checkpointed(series.weekly_base(contracts))
+    return regression.prepared(series.features_of_weeks(weekly)), weekly
 
 
 @query("feature_ranking", "K11 J11")

@@ -13,6 +13,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tendermill.session import stored
+
 BANDS_PER_E_FOLD = 64
 
 
@@ -61,6 +63,8 @@ def exact_quantiles(df: DataFrame, keys: Iterable[str], value: str, wanted: Mapp
     bands = bands.where(hit)
     on = _same("c", "b", [*keys, "_band"])
     if reread:
+        # written, they are known to be few before the values are read, and are broadcast; else all values are shuffled to meet them
+        bands = stored(bands)
         near = values.alias("c").join(bands.alias("b"), on, "left_semi")
         counted = near.groupBy(*keys, "_v", "_band").agg(F.count("*").alias("_n"))
     rows = counted.alias("c").join(bands.alias("b"), on).select("c.*", "b._before", "b._total")

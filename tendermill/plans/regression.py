@@ -143,9 +143,8 @@ def next_week_by_project(contracts: DataFrame, projects: list[str] | None = None
     groups = [("all", contracts)] if projects is None else [(p, contracts.where(F.col("project_name") == p)) for p in projects]
     out = []
     for name, rows in groups:
-        features = series.weekly_features(rows)
-        weekly = checkpointed(series.weekly_base(rows).select("contract_week", "total_amount"))
-        data = prepared(features)
+        weekly = checkpointed(series.weekly_base(rows))
+        data = prepared(series.features_of_weeks(weekly))
         ranked, fitted = compared_models(data, trees, rounds)
         out.append(next_week(data, fitted[ranked[0][0]], weekly).select(
             F.lit(name).alias("project"), F.lit(ranked[0][0]).alias("model"), "*"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tendermill.functions import values
 from tendermill.operators import grouping
 from tendermill.operators.quantiles import exact_quantiles
+from tendermill.session import stored
 
 LAGGED = ["total_amount", "contract_count", "avg_contract_size", "unique_counterparties", "amount_ma3", "max_concentration",
           "week_sin", "week_cos"]
@@ -21,16 +22,22 @@ AMOUNT = "total_contract_amount_eur"
 
 
 def weekly_base(contracts: DataFrame, *keys: str) -> DataFrame:
-    """Sums, means, distinct counts and spread per week with contracts; empty weeks have no row."""
-    weekly = contracts.withColumn("contract_week", values.week_start("contract_signing_date"))
+    """Sums, means, distinct counts and spread per week with contracts; empty weeks have no row.
+
+    The contracts' own columns are written once and read by each aggregate; an aggregate with two distinct counts would
+    shuffle every contract twice, with all its sums.
+    """
     group = [*keys, "contract_week"]
-    plain = weekly.groupBy(*group).agg(
+    weekly = stored(contracts.select(*keys, values.week_start("contract_signing_date").alias("contract_week"), AMOUNT, "unit_price_eur",
+                                     "contract_number", "counterparty_name"))
+    out = weekly.groupBy(*group).agg(
         F.sum(AMOUNT).alias("total_amount"), F.avg("unit_price_eur").alias("avg_unit_price"),
         F.max(AMOUNT).alias("max_contract"), F.min(AMOUNT).alias("min_contract"),
-        F.stddev_samp(AMOUNT).alias("std_contract"), F.countDistinct("contract_number").alias("contract_count"),
-        F.countDistinct("counterparty_name").alias("unique_counterparties"))
-    medians = exact_quantiles(weekly, group, AMOUNT, {"median_contract": 0.5})
-    return grouping.null_safe_join(plain, medians, group)
+        F.stddev_samp(AMOUNT).alias("std_contract"))
+    for name, count in (("contract_number", "contract_count"), ("counterparty_name", "unique_counterparties")):
+        out = grouping.null_safe_join(out, weekly.groupBy(*group).agg(F.countDistinct(name).alias(count)), group)
+    medians = exact_quantiles(weekly, group, AMOUNT, {"median_contract": 0.5}, reread=True)
+    return grouping.null_safe_join(out, medians, group)
 
 
 #: Lags of a weekly series and its last share kept for testing; callers with short series pass smaller ones.
@@ -98,8 +105,12 @@ def with_target(features: DataFrame, use_log: bool, *keys: str) -> DataFrame:
 
 def weekly_features(contracts: DataFrame, *keys: str, lags: int = LAGS, use_log: bool = True) -> DataFrame:
     """The full feature table."""
-    shaped = with_shape(weekly_base(contracts, *keys), *keys)
-    return with_target(with_lags(shaped, LAGGED, lags, *keys), use_log, *keys)
+    return features_of_weeks(weekly_base(contracts, *keys), *keys, lags=lags, use_log=use_log)
+
+
+def features_of_weeks(weekly: DataFrame, *keys: str, lags: int = LAGS, use_log: bool = True) -> DataFrame:
+    """The full feature table of weeks that :func:`weekly_base` has folded."""
+    return with_target(with_lags(with_shape(weekly, *keys), LAGGED, lags, *keys), use_log, *keys)
 
 
 def chronological_split(features: DataFrame, share: float, order: str = "contract_week") -> DataFrame:
