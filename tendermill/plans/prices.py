@@ -9,6 +9,7 @@ from tendermill.functions import values
 from tendermill.operators import cleaning, grouping
 from tendermill.operators.describing import column_summary
 from tendermill.operators.quantiles import exact_quantiles
+from tendermill.session import stored
 
 
 def supplier_prices(lots: DataFrame) -> DataFrame:
@@ -133,19 +134,24 @@ def price_by_type(contracts: DataFrame, name: str = "product_type", k: int = 8)
 
 
 def risk_score(contracts: DataFrame, prepaid: str = "100%") -> DataFrame:
-    """One row: the five risk factors, the points they give, the level and the priority value."""
-    competition = lot_competition(contracts).agg(
+    """One row: the five risk factors, the points they give, the level and the priority value.
+
+    What the factors need of a contract is put together and written once.
+    """
+    checked = stored(cleaning.amount_check(contracts, "quantity", "unit_price", "product_amount").select(
+        "lot_number", "counterparty_name", "total_contract_amount_eur", "is_error",
+        F.col("payment_conditions").contains(prepaid).alias("is_prepaid"),
+        values.days_between("lot_end_date", "contract_signing_date").alias("days")))
+    competition = lot_competition(checked).agg(
         F.count("*").alias("lots"), F.count_if(F.col("suppliers") == 1).alias("single"),
         F.avg("suppliers").alias("mean_suppliers"))
-    totals = contracts.groupBy("counterparty_name").agg(grouping.exact_sum("total_contract_amount_eur").alias("amount"))
+    totals = checked.groupBy("counterparty_name").agg(grouping.exact_sum("total_contract_amount_eur").alias("amount"))
     top3 = grouping.top(totals, 3, F.desc("amount"), "counterparty_name").agg(F.sum("amount")).scalar()
-    checked = cleaning.amount_check(contracts, "quantity", "unit_price", "product_amount")
-    days = values.days_between("lot_end_date", "contract_signing_date")
     rows = checked.agg(
         F.sum("total_contract_amount_eur").alias("total"), F.count("*").alias("contracts"),
-        F.count_if(F.col("payment_conditions").contains(prepaid)).alias("prepaid"), F.count_if("is_error").alias("errors"),
-        F.count_if(days >= 0).alias("valid_days"), F.count_if(days == 0).alias("same_day"))
-    p75 = exact_quantiles(contracts, [], "total_contract_amount_eur", {"q": 0.75}).select("q").scalar()
+        F.count_if("is_prepaid").alias("prepaid"), F.count_if("is_error").alias("errors"),
+        F.count_if(F.col("days") >= 0).alias("valid_days"), F.count_if(F.col("days") == 0).alias("same_day"))
+    p75 = exact_quantiles(checked, [], "total_contract_amount_eur", {"q": 0.75}, reread=True).select("q").scalar()
     factors = grouping.with_row(rows, competition, "_lot").select(
         F.try_divide(F.col("_lot.single"), F.col("_lot.lots")).alias("single_share"), F.try_divide(top3, F.col("total")).alias("top3_share"),
         F.try_divide("prepaid", "contracts").alias("prepaid_share"), "errors",

@@ -2,10 +2,11 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tendermill.operators.quantiles import exact_quantiles
-from tendermill.plans import regression, series
+from tendermill.plans import prices, regression, series
 
 DAY = datetime.date(2001, 1, 1)
 
@@ -26,6 +27,14 @@ def _counted(spark, n=300):
     return df.withColumn("total_contract_amount_eur", counted("amount")).withColumn("unit_price_eur", F.col("unit_price")), seen
 
 
+def test_risk_score_puts_contracts_together_once(spark):
+    contracts, seen = _counted(spark)
+    found = prices.risk_score(contracts, prepaid="URGENT").first()
+    assert seen.value == 300
+    assert found["priority_value"] == pytest.approx(225.25) and found["prepaid_share"] == 0.5 and found["errors"] == 0
+    assert found["mean_suppliers"] == 3.0 and found["single_share"] == 0.0
+
+
 def test_weeks_put_contracts_together_once(spark):
     contracts, seen = _counted(spark)
     weeks = series.weekly_base(contracts).toPandas().set_index("contract_week").sort_index()
