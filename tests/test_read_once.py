@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tendermill.catalog import load
 from tendermill.plans import suppliers
 
 
@@ -25,3 +26,8 @@ def test_supplier_features_put_contracts_together_once(spark):
     assert seen.value == len(rows)
     assert sorted(found["counterparty_name"]) == ["s0", "s1", "s2", "s3"]
     assert found.set_index("counterparty_name").loc["s1", "total_volume"] == sum(float(i + 1) for i in range(40) if i % 4 == 1)
+
+
+def test_copies_of_an_export_are_made_from_one_text(spark, tiny):
+    plan = load()["lot_export_cleaned"].run(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("l_extendedprice#") and "explode" in plan
